@@ -1,0 +1,4 @@
+"""Registered queries of the library, with their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
