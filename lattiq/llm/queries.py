@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, dac, tokens
+from . import base, dac, packing, pii, tokens, toxicity
 
 
 def tokenizer_path() -> str:
@@ -21,7 +21,28 @@ def op10_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read(dac.write(base.documents(spark, sf_dir), tokenizer_path(), end_id=2))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The secret of the pseudonyms: from the session, with a fixed one for tests."""
+    return spark.conf.get("lattiq.pii.key", "a key for tests only").encode()[:64]
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(base.documents(spark, sf_dir), pseudonym_key(spark), count="n_replaced")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.assign(base.documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op7_toxicity": op7_toxicity,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_forced_boundary_bpe": op9_forced_boundary_bpe,
     "op10_addressable_codes": op10_addressable_codes,
 }
