@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, dac, packing, pii, tokens, toxicity
+from . import base, dac, packing, pii, substrings, tokens, toxicity
 
 
 def tokenizer_path() -> str:
@@ -39,7 +39,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(base.documents(spark, sf_dir))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(base.documents(spark, sf_dir), window=20)
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
