@@ -46,3 +46,35 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def streamed_groups(df: DataFrame, key: list[str], order: list[str], rest: list[str], fn: Callable, ddl: str) -> DataFrame:
+    """Rows of ``df`` dealt by ``key`` and sorted; ``fn(key, rows)`` yields output tuples of each
+    group.  Unlike a grouped map it costs nothing per group but the call."""
+    schema, arrow = arrow_schema(ddl)
+    n = len(key)
+
+    def run(batches):
+        out: list[tuple] = []
+        now, rows = None, []
+
+        def batch():
+            columns = list(zip(*out, strict=True)) or [()] * len(arrow)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:n] != now:
+                    if rows:
+                        out += fn(now, rows)
+                        if len(out) > 20_000:
+                            yield batch()
+                    now, rows = row[:n], []
+                rows.append(row[n:])
+        if rows:
+            out += fn(now, rows)
+        yield batch()
+
+    dealt = df.repartition(partitions(df), *key).sortWithinPartitions(*key, *order)
+    return dealt.select(*key, *rest).mapInArrow(run, schema)

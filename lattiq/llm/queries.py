@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, dac, packing, pii, substrings, tokens, toxicity
+from . import base, dac, neardup, packing, pii, substrings, tokens, toxicity
 
 
 def tokenizer_path() -> str:
@@ -43,7 +43,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(base.documents(spark, sf_dir), window=20)
 
 
+def op4_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classified(base.documents(spark, sf_dir), k=4, percent=80)
+
+
 QUERIES = {
+    "op4_bottom_k_near_dedup": op4_bottom_k_near_dedup,
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op7_toxicity": op7_toxicity,
