@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, dac, neardup, packing, pii, substrings, tokens, toxicity
+from . import base, dac, neardup, ordermin, packing, pii, substrings, tokens, toxicity
 
 
 def tokenizer_path() -> str:
@@ -47,7 +47,12 @@ def op4_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classified(base.documents(spark, sf_dir), k=4, percent=80)
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.compared(base.documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op5_order_minhash": op5_order_minhash,
     "op4_bottom_k_near_dedup": op4_bottom_k_near_dedup,
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
