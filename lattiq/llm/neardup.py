@@ -8,9 +8,9 @@
   the ``32 - 10 + 1`` values of each sketch that the fewest classes retain: any two sketches
   with 10 values in common have one of those in common.  Values of frequent passages, and those
   of one class alone, drop out, and unrelated documents meet in no list.
-* Lists that share a class make a family.  Within it, the estimate from the union of two
-  sketches (shared values among its 32 least) drops pairs under ``SHARED``, and the rest are
-  counted exactly on the full sets.
+* Within a list, the estimate from the union of two sketches (shared values among its 32 least)
+  drops pairs under ``SHARED``.  Classes connected by the rest make a family, whose pairs that
+  pass the estimate are counted exactly on the full sets.
 * A family of up to ``BLOCK`` classes is one unit of work.  A larger one first compares every
   class with its most central one; only what stays unlinked is compared with all, in blocks.
   Units emit the links of a spanning forest, never all pairs.
@@ -30,7 +30,7 @@ from . import base
 from .components import components
 from .words import grams, mix, slices, word_hashes
 
-SKETCH, SHARED, BLOCK = 32, 10, 512
+SKETCH, SHARED, BLOCK = 32, 10, 1024
 
 
 def shingle_set(words: list[bytes], k: int, h: np.ndarray | None = None) -> np.ndarray:
@@ -69,8 +69,9 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
     return base.mapped(docs.select("doc_id", "text"), make, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
 
-def _families(classes: DataFrame) -> DataFrame:
-    """``rep, central`` and ``family`` of the classes that meet others in rare retained values."""
+def _families(classes: DataFrame, block: int) -> DataFrame:
+    """``rep, central`` and ``family`` of the classes that meet others in rare retained values
+    and pass the estimate from the union of their sketches."""
     values = classes.select("rep", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     common = values.join(often, "v").groupBy("rep", "n", "kept")
@@ -79,9 +80,21 @@ def _families(classes: DataFrame) -> DataFrame:
     room = F.greatest(F.lit(0), F.col("kept") - least + 1 - (F.col("kept") - F.size("common")))
     listed = common.withColumn("room", room).where("room > 0").select("rep", F.struct("weight", F.col("rep")).alias("central"), F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("x"))
     listed = scratch.written(listed.select("rep", "central", F.col("x.v").alias("v")), "lists")
-    heads = listed.groupBy("v").agg(F.min("rep").alias("head"))
-    edges = listed.join(heads, "v").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    found = components(edges).withColumnRenamed("node", "rep").withColumnRenamed("label", "family")
+    sizes = listed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
+    # a list of over ``block`` is met in pairs of blocks; others are one block
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    placed = listed.join(sizes, "v").select("v", "rep", blocks.alias("k"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("at"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
+    placed = placed.select("v", "rep", "at", meets).select("v", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "rep")
+    placed = placed.join(classes.select("rep", "sketch"), "rep")
+
+    def meet(_, rows):
+        members = {r: np.array(s, np.int64).view(np.uint64) for r, s in rows}
+        names, sets = list(members), list(members.values())
+        return _forest(names, np.triu(estimated(sets, sets), 1), names) if len(names) > 1 else []
+
+    edges = base.streamed_groups(placed, ["v", "i", "j"], ["rep"], ["rep", "sketch"], meet, "a long, b long")
+    found = components(edges.distinct()).withColumnRenamed("node", "rep").withColumnRenamed("label", "family")
     return found.join(listed.groupBy("rep").agg(F.first("central").alias("central")), "rep")
 
 
@@ -152,7 +165,7 @@ def _links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray
 
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """``a, b`` (``a < b``): links of a spanning forest of the similar classes' ids."""
-    families = scratch.written(_families(classes), "families")
+    families = scratch.written(_families(classes, block), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("m"), F.max("central").alias("c"))
     placed = families.join(sizes, "family").select("rep", "family", "m", F.col("c.rep").alias("center"))
     texts = docs.join(placed, docs["doc_id"] == placed["rep"]).select("rep", "family", "m", "center", "text")
