@@ -103,16 +103,18 @@ def compared(docs: DataFrame, size: int = SIZE) -> DataFrame:
     next document: their last quarter is cut off and ``near_next`` is 0.
     """
     rows = docs.select("doc_id", base.text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
-    ids = rows.select("doc_id", "th", F.length("text").alias("n")).where("doc_id is not null")
+    named = rows.where("doc_id is not null")
+    ids = named.select("doc_id", "th", F.length("text").alias("n"))
     once = ids.groupBy("doc_id", "th").agg(F.count("*").alias("times"), F.first("n").alias("n"))
     once = scratch.written(once, "ids")
     after = scratch.written(_next(once.select("doc_id", "th"), base.partitions(docs)), "next")
     asked = after.join(once.select("doc_id", "th", F.floor(F.col("n") / 4).cast("int").alias("need")), ["doc_id", "th"])
     asked = asked.select(F.col("doc_id").alias("for_id"), F.col("th").alias("for_th"), "need", F.col("next_id").alias("doc_id"), F.col("next_th").alias("th"))
-    starts = rows.join(asked, ["doc_id", "th"]).select(F.col("for_id").alias("doc_id"), F.col("for_th").alias("th"), F.expr("substring(text, 1, need)").alias("start"))
+    starts = named.join(asked, ["doc_id", "th"]).select(F.col("for_id").alias("doc_id"), F.col("for_th").alias("th"), F.expr("substring(text, 1, need)").alias("start"))
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.coalesce("start", F.lit("")))
-    both = rows.join(starts, ["doc_id", "th"], "left").select("doc_id", "th", "text", n.alias("n_chars"), edited.alias("edited"))
+    placed = named.join(starts, ["doc_id", "th"], "left").unionByName(rows.where("doc_id is null").withColumn("start", F.lit("")))
+    both = placed.select("doc_id", "th", "text", n.alias("n_chars"), edited.alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
     keys = ["doc_id", "th", "n_chars", "edited_sha256", "own"]
     texts = both.select(*keys[:4], F.explode(F.array(F.struct(F.lit(True).alias("own"), "text"), F.struct(F.lit(False).alias("own"), F.col("edited").alias("text")))).alias("s"))
