@@ -1,4 +1,338 @@
-"""Registered queries of the library, with their SQL."""
+"""Registered queries of the library, one per operator, with equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lattiq.operators import basic, cliques, nucleus, paths, splits
+from lattiq.sources import graphs, runlog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The edges of the graph of parts returned in one order.
+EDGES = """e as materialized (select distinct a.l_partkey src, b.l_partkey dst from lineitem a join lineitem b
+ on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey where a.l_returnflag = 'R' and b.l_returnflag = 'R')"""
+BOTH = EDGES + ", t as materialized (select src u, dst v from e union all select dst, src from e)"
+DEGREES = BOTH + ", d as (select u id, count(*)::bigint degree from t group by u)"
+TRIANGLES = EDGES + ", k3 as materialized (select x.src a, x.dst b, y.dst c from e x join e y on x.dst = y.src join e z on z.src = x.src and z.dst = y.dst)"
+FOURS = TRIANGLES + """, k4 as materialized (select k.a, k.b, k.c, w.dst d from k3 k join e w on w.src = k.c join e x on x.src = k.a and x.dst = w.dst
+ join e y on y.src = k.b and y.dst = w.dst)"""
+FIVES = FOURS + """, k5 as materialized (select k.*, v.dst f from k4 k join e v on v.src = k.d join e w on w.src = k.a and w.dst = v.dst
+ join e x on x.src = k.b and x.dst = v.dst join e y on y.src = k.c and y.dst = v.dst)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rounds(n: int, start: str, step: str) -> str:
+    """Chained tables ``c0 .. cn``; rounds past the fixpoint change nothing."""
+    out = [f"c0 as materialized ({start})"]
+    out += [f"c{i + 1} as materialized ({step.replace('@', f'c{i}')})" for i in range(n)]
+    return ", ".join(out)
+
+
+CORES = BOTH + ", " + _rounds(24, "select u id, count(*) c from t group by u", "select id, max(least(c, rn)) c from (select t.u id, k.c, row_number() over (partition by t.u order by k.c desc) rn from t join @ k on k.id = t.v) group by id")
+
+
+def _nucleus_sql(base: str, members: str, n: int) -> str:
+    """h-index rounds over ``i(s, m)``."""
+    start = "select m, count(*) c from i group by m"
+    step = """select m, max(least(o, rn)) c from (select m, o, row_number() over (partition by m order by o desc) rn from
+ (select x.m, min(k.c) o from i x join i y on x.s = y.s and x.m <> y.m join @ k on k.m = y.m group by x.s, x.m)) group by m"""
+    return "with " + base + f", i as materialized ({members}), " + _rounds(n, start, step)
+
+
+EDGES_OF_3 = "select [a,b,c] s, unnest([[a,b],[a,c],[b,c]]) m from k3"
+TRIANGLES_OF_4 = "select [a,b,c,d] s, unnest([[a,b,c],[a,b,d],[a,c,d],[b,c,d]]) m from k4"
+part = graphs.part_coorder
+
+
+@query(f"with {EDGES} select src, dst from e")
+def s1_edge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = part(spark, sf_dir)
+    lines = e.select(F.concat(F.col("dst"), F.lit("\t"), F.col("src"), F.lit(" x")).alias("value"))
+    return graphs.parse_edges(lines.unionByName(lines).unionByName(spark.createDataFrame([("# c",), ("",), ("3 3",)], "value string")))
+
+
+@query("""with l as (select l_orderkey * 8 + l_linenumber pos, 'p' || l_partkey a, 's' || l_suppkey b from lineitem),
+ f as (select n, min(pos * 2 + side) p from (select pos, a n, 0 side from l union all select pos, b, 1 from l) group by n),
+ i as (select n, row_number() over (order by p, n) - 1 id from f)
+ select distinct least(x.id, y.id)::bigint src, greatest(x.id, y.id)::bigint dst from l join i x on x.n = l.a join i y on y.n = l.b where x.id <> y.id""")
+def s5_dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    names = line.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    return graphs.dense_ids(names, "pos")[1]
+
+
+@query("""select sum(k)::bigint n_rows, sum(case when u = v then k else 0 end)::bigint n_loops, sum(case when u <> v then k - 1 else 0 end)::bigint n_repeats
+ from (select least(l_partkey, l_suppkey) u, greatest(l_partkey, l_suppkey) v, count(*) k from lineitem group by all)""")
+def s6_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.defects(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
+@query()
+def s8_random_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.random_graph(spark, 200, 0.1)
+
+
+@query(f"with {BOTH} select u || ': ' || string_agg(v::varchar, ' ' order by v) as value from t group by u")
+def s15_adjacency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.adjacency_lines(part(spark, sf_dir))
+
+
+@query("""with recursive b(n, k, c) as (select 0, 0, 1::bigint union all
+ select n + 1, j, c * (n + 1) // (case when j > k then j else n + 1 - k end) from b, lateral (select unnest(case when k = n then [k, k + 1] else [k] end) j) where n < 30)
+ select n, k, c from b""")
+def s16_binomials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.binomials(spark, 30).select("n", "k", F.col("c").cast("long").alias("c"))
+
+
+@query("""with x as (select distinct date_trunc('minute', ts) m, user_id from events)
+ select distinct a.user_id src, b.user_id dst from x a join x b on a.m = b.m and a.user_id < b.user_id""")
+def user_minute_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.user_minute(spark, sf_dir)
+
+
+@query(f"with {DEGREES} select id, degree from d")
+def a1_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.degrees(part(spark, sf_dir))
+
+
+@query(f"with {DEGREES} select count(*) n, (sum(degree) // 2)::bigint m, max(degree) max_degree, 2 * (sum(degree) // 2)::bigint / count(*) avg_degree from d")
+def a1_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.graph_stats(part(spark, sf_dir))
+
+
+@query(f"with {DEGREES} select degree, count(*) n from d group by degree")
+def a2_degree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.degree_histogram(part(spark, sf_dir))
+
+
+@query(f"with {DEGREES} select count(*) n, sum(degree)::bigint ends, sum(degree * (degree - 1) // 2)::bigint wedges from d")
+def a3_size_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.size_triple(part(spark, sf_dir))
+
+
+@query(f"with {DEGREES} select count(*) filter (degree > 10) n from d")
+def p9_over_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.over_degree(part(spark, sf_dir), 10)
+
+
+@query(f"with {EDGES}, p as (select distinct l_partkey src, l_suppkey dst from lineitem where l_partkey <> l_suppkey) select p.src, p.dst, exists (select 1 from e where e.src = least(p.src, p.dst) and e.dst = greatest(p.src, p.dst)) is_edge from p")
+def p7_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    return basic.contains(part(spark, sf_dir), pairs)
+
+
+@query(f"with {DEGREES}, o as (select id, row_number() over (order by degree, id) - 1 rank from d) select distinct least(x.rank, y.rank) src, greatest(x.rank, y.rank) dst from e join o x on x.id = e.src join o y on y.id = e.dst")
+def p4_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = part(spark, sf_dir)
+    return basic.relabelled(e, basic.degree_order(e))
+
+
+@query(f"with {DEGREES} select id, row_number() over (order by degree desc, id) - 1 rank from d")
+def o1_degree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.degree_order(part(spark, sf_dir), ascending=False)
+
+
+@query(f"with {CORES}, d as (select u id, count(*) degree from t group by u) select d.id, row_number() over (order by c, degree, d.id) - 1 rank from d join c24 k on k.id = d.id")
+def o3_degeneracy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = part(spark, sf_dir)
+    return basic.degeneracy_order(e, nucleus.core_numbers(e))
+
+
+@query()
+def o4_random_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.random_order(part(spark, sf_dir))
+
+
+@query(f"""with recursive {BOTH}, c0 as materialized (select u id, least(u, min(v)) r from t group by u),
+ w(id, root) as (select id, id from c0 union select t.v, w.root from w join t on t.u = w.id where t.v > w.root),
+ r as (select id, min(root) root from w group by id), b(id, depth) as (select id, 0 from r where id = root union select t.v, depth + 1 from b join t on t.u = b.id where depth < 15)
+ select b.id, r.root, min(depth)::int depth, (row_number() over (order by r.root desc, min(depth) desc, b.id desc) - 1)::bigint rank from b join r on r.id = b.id group by b.id, r.root""")
+def o2_bfs_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.bfs_order(part(spark, sf_dir))
+
+
+@query(f"""with {DEGREES}, g as (select case when (x.degree, x.id) < (y.degree, y.id) then src else dst end u, case when (x.degree, x.id) < (y.degree, y.id) then dst else src end v
+ from e join d x on x.id = src join d y on y.id = dst) select id, sum(i)::bigint n_in, sum(o)::bigint n_out from (select u id, 0 i, 1 o from g union all select v, 1, 0 from g) group by id""")
+def o5_dag_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.dag_degrees(basic.oriented(part(spark, sf_dir)))
+
+
+@query(f"with {EDGES}, f as (select src, dst from e where src % 2 = 0), g as (select src, dst from e where dst % 3 = 0) select *, 'left' side from (select * from f except all select * from g) union all select *, 'right' from (select * from g except all select * from f)")
+def j11_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = part(spark, sf_dir)
+    return basic.difference(e.where("src % 2 = 0"), e.where("dst % 3 = 0"))
+
+
+@query(f"with {DEGREES} select src, dst, least(x.degree, y.degree) as value from e join d x on x.id = src join d y on y.id = dst")
+def a16_edge_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = part(spark, sf_dir)
+    return basic.end_minima(e, basic.degrees(e).withColumnRenamed("degree", "value"))
+
+
+@query(f"with {DEGREES}, m as (select src, dst, least(x.degree, y.degree) w from e join d x on x.id = src join d y on y.id = dst) select id, max(w) as value from (select src id, w from m union all select dst, w from m) group by id")
+def a16_vertex_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basic.vertex_maxima(a16_edge_minima(spark, sf_dir))
+
+
+@query(f"with {TRIANGLES} select a, b, c from k3")
+def j1_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cliques.k_cliques(part(spark, sf_dir), 3).select(*[F.col("c")[i].alias(x) for i, x in enumerate("abc")])
+
+
+@query(f"with {FOURS} select 4 k, count(*) n from k4")
+def a4_count_4_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cliques.count_cliques(part(spark, sf_dir), 4)
+
+
+@query(f"with {FIVES} select 1 k, count(distinct x)::bigint n from (select src x from e union all select dst from e) union all select 2, count(*) from e union all select 3, count(*) from k3 union all select 4, count(*) from k4 union all select 5, count(*) from k5")
+def a5_counts_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = paths.counts(paths.clique_paths(part(spark, sf_dir)), 5)
+    return p.select("k", F.col("n").cast("long").alias("n"))
+
+
+@query(f"with {TRIANGLES} select unnest([a,b,c]) id, count(*) n from k3 group by 1")
+def a6_vertex_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cliques.per_subset(part(spark, sf_dir), 3, 1).select(F.col("rc")[0].alias("id"), "n")
+
+
+@query(f"""with {FOURS}, t as (select src id, 2 k from e union all select dst, 2 from e union all select unnest([a,b,c]), 3 from k3 union all select unnest([a,b,c,d]), 4 from k4
+ union all select distinct x, 1 from (select src x from e union all select dst from e)) select id, k, count(*) n from t group by id, k""")
+def a7_vertex_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = paths.vertex_counts(paths.clique_paths(part(spark, sf_dir)), 4)
+    return p.select("id", "k", F.col("n").cast("long").alias("n"))
+
+
+@query(f"with {TRIANGLES} select p[1] src, p[2] dst, count(*) n from (select unnest([[a,b],[a,c],[b,c]]) p from k3) group by all")
+def a8_edge_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cliques.per_subset(part(spark, sf_dir), 3, 2).select(F.col("rc")[0].alias("src"), F.col("rc")[1].alias("dst"), "n")
+
+
+@query(f"""with {FOURS}, t as (select [src,dst] p, 2 k from e union all select unnest([[a,b],[a,c],[b,c]]), 3 from k3 union all
+ select unnest([[a,b],[a,c],[a,d],[b,c],[b,d],[c,d]]), 4 from k4) select p[1] src, p[2] dst, k, count(*) n from t group by all""")
+def a9_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = paths.edge_counts(paths.clique_paths(part(spark, sf_dir)), 4)
+    return p.select("src", "dst", "k", F.col("n").cast("long").alias("n"))
+
+
+@query(f"with {FOURS} select m[1] a, m[2] b, m[3] c, count(*) n from ({TRIANGLES_OF_4}) group by all")
+def a10_triangle_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cliques.per_subset(part(spark, sf_dir), 4, 3)
+    return rows.select(*[F.col("rc")[i].alias(x) for i, x in enumerate("abc")], "n")
+
+
+@query()
+def a12_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.summary(paths.clique_paths(part(spark, sf_dir)))
+
+
+@query()
+def a15_union_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.union_counts(paths.clique_paths(part(spark, sf_dir)), 3)
+
+
+@query()
+def j6_path_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.overlaps(paths.clique_paths(part(spark, sf_dir), most=4, least=4), 3)
+
+
+@query(f"with {TRIANGLES} select a, b, c, (a + b * (b - 1) // 2 + c * (c - 1) * (c - 2) // 6)::bigint as rank from k3")
+def f4_clique_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = cliques.k_cliques(part(spark, sf_dir), 3)
+    return k.select(*[F.col("c")[i].alias(x) for i, x in enumerate("abc")], cliques.rank("c", 3).cast("long").alias("rank"))
+
+
+@query(f"with {CORES} select id, c core from c24")
+def g1_core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nucleus.core_numbers(part(spark, sf_dir))
+
+
+@query(f"with {CORES} select max(c) degeneracy from c24")
+def g2_degeneracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nucleus.degeneracy(part(spark, sf_dir))
+
+
+@query()
+def g4_clique_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.clique_paths(part(spark, sf_dir), most=4, least=4)
+
+
+@query(f"""with {FOURS} select 3 size, count(*) n from k3 where not exists (select 1 from e x join e y on x.dst = y.dst join e z on z.dst = x.dst where x.src = a and y.src = b and z.src = c)
+ and not exists (select 1 from k4 where (k4.a, k4.b, k4.d) = (k3.a, k3.b, k3.c) or (k4.a, k4.c, k4.d) = (k3.a, k3.b, k3.c) or (k4.b, k4.c, k4.d) = (k3.a, k3.b, k3.c))""")
+def g8_maximal_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = paths.maximal_cliques(part(spark, sf_dir)).select(F.size("c").alias("size"))
+    return sizes.where("size = 3").groupBy("size").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {BOTH}, p as (select x.u id, x.v a, y.v b from t x join t y on x.u = y.u join t z on z.u = x.v and z.v = y.v),
+ k as (select id, count(distinct a) n from p group by id) select u id, coalesce(n, 0)::bigint n from (select distinct u from t) left join k on k.id = u""")
+def g17_neighbours_in_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the 1-core of each neighbourhood, as a check of the ego-nets."""
+    tri = cliques.k_cliques(part(spark, sf_dir), 3).select(F.explode(F.transform("c", lambda v: F.struct(v.alias("id"), F.array_remove("c", v).alias("o")))).alias("x"))
+    found = tri.select("x.id", F.explode("x.o").alias("o")).groupBy("id").agg(F.countDistinct("o").alias("n"))
+    every = basic.degrees(part(spark, sf_dir)).select("id")
+    return every.join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query()
+def g17_structural_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nucleus.structural_diversity(part(spark, sf_dir), 1).groupBy("tau").agg(F.count("*").alias("n"))
+
+
+@query(_nucleus_sql(TRIANGLES, "select [a,b,c] s, unnest([a,b,c]) m from k3", 16) + " select x id, coalesce(c, 0)::bigint core from (select distinct unnest([src,dst]) x from e) left join c16 on m = x")
+def n1_vertex_core_1_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nucleus.nucleus(part(spark, sf_dir), r=1, s=3).select(F.col("rc")[0].alias("id"), F.col("core").cast("long").alias("core"))
+
+
+@query(_nucleus_sql(TRIANGLES, EDGES_OF_3, 9) + " select src, dst, coalesce(c, 0)::bigint core from e left join c9 on m = [src, dst]")
+def n2_edge_core_2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nucleus.nucleus(part(spark, sf_dir), r=2, s=3).select(F.col("rc")[0].alias("src"), F.col("rc")[1].alias("dst"), F.col("core").cast("long").alias("core"))
+
+
+@query(_nucleus_sql(FOURS, TRIANGLES_OF_4, 9) + " select m[1] a, m[2] b, m[3] c, c::bigint core from c9")
+def n3_triangle_core_3_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = nucleus.nucleus(part(spark, sf_dir), r=3, s=4)
+    return rows.select(*[F.col("rc")[i].alias(x) for i, x in enumerate("abc")], F.col("core").cast("long").alias("core"))
+
+
+@query(_nucleus_sql(FOURS, "select [a,b,c,d] s, unnest([a,b,c,d]) m from k4", 16) + " select x id, coalesce(c, 0)::bigint core from (select distinct unnest([src,dst]) x from e) left join c16 on m = x")
+def n7_vertex_core_over_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nucleus.vertex_nucleus(part(spark, sf_dir), s=4).select("id", F.col("core").cast("long").alias("core"))
+
+
+@query(_nucleus_sql(TRIANGLES, EDGES_OF_3, 9) + """, v as (select c, row_number() over (order by c) l from (select distinct c from c9 where c > 0)) select v.l::int as level, v.c::bigint level_value, count(*) members
+ from c9 k join v on k.c >= v.c group by all""")
+def n4_hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = nucleus.hierarchy(part(spark, sf_dir), r=2, s=3)
+    return h.groupBy("level", "level_value").agg(F.count("*").alias("members"))
+
+
+@query(f"with {FOURS}, g as (select c[1] a, c[2] b from (select [src, dst] c from e) where c[1] % 5 = 0 and c[2] % 5 = 0) select count(*) n from k4 where not exists (select 1 from g where g.a in (k4.a,k4.b,k4.c,k4.d) and g.b in (k4.a,k4.b,k4.c,k4.d))")
+def g12_split_by_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4-cliques left after the edges between multiples of five are deleted from the paths."""
+    e = part(spark, sf_dir)
+    gone = {frozenset((r["src"], r["dst"])) for r in e.where("src % 5 = 0 and dst % 5 = 0").toLocalIterator()}
+    left = splits.split_paths(paths.clique_paths(e, least=4), 2, gone, 4)
+    return paths.counts(left).where("k = 4").select(F.col("n").cast("long").alias("n"))
+
+
+@query("""select 'nation' || s_nationkey dataset, 3 r, 4 s, min(s_suppkey * 2.0) filter (s_suppkey % 3 <> 0) ms, count(*) runs from supplier group by 1""")
+def e9_best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sup = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    parts = ["==== RUN ====\ndataset: data/nation", F.col("s_nationkey"), ".edges\ns: 3\nr: 4\nprogram time: ", F.col("s_suppkey") * 2, " ms\nExit status: ", F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0), "\n==== END OF RUN ====\n"]
+    logs = sup.select(F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value"))
+    rows = runlog.normalised(runlog.records(runlog.blocks(logs))).withColumn("dataset", runlog.nice_name("dataset"))
+    ok = F.col("exit_status") == 0
+    return rows.groupBy("dataset", "r", "s").agg(F.min(F.when(ok, F.col("prog_time_ms"))).alias("ms"), F.count("*").alias("runs"))
