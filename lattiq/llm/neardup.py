@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from lattiq import scratch
 
 from . import base
-from .components import components
+from lattiq.operators.components import components
 from .words import grams, mix, slices, word_hashes
 
 SKETCH, SHARED, BLOCK = 32, 10, 1024
