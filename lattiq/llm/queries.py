@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import base, dac, neardup, ordermin, packing, pii, substrings, tokens, toxicity
+from . import base, chroma, dac, neardup, ordermin, packing, pii, substrings, tokens, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -51,7 +51,20 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.compared(base.documents(spark, sf_dir))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.recrawl(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "canonical", "target_id", "status", F.array_join(lines, "\n").alias("headers"))
+
+
+def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = chroma.fingerprints(chroma.tunes(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    return chroma.align(prints, lambda media_id: media_id % 50 == 0)
+
+
 QUERIES = {
+    "op3_warc_revisits": op3_warc_revisits,
+    "op6_chroma_fingerprints": op6_chroma_fingerprints,
     "op5_order_minhash": op5_order_minhash,
     "op4_bottom_k_near_dedup": op4_bottom_k_near_dedup,
     "op1_substring_dedup": op1_substring_dedup,
@@ -61,4 +74,25 @@ QUERIES = {
     "op9_forced_boundary_bpe": op9_forced_boundary_bpe,
     "op10_addressable_codes": op10_addressable_codes,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_revisits": """
+with r as (
+  select page_id i, url, md5(coalesce(html, '')) tag, length(coalesce(html, '')) n from pages
+), c as (
+  select *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '') host_path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p:
+      p <> '' and not starts_with(lower(split_part(p, '=', 1)), 'utm_') and lower(split_part(p, '=', 1)) not in ('ref', 'fbclid', 'gclid', 'sessionid'))), '&') params
+  from r
+), k as (select *, host_path || case when params <> '' then '?' || params else '' end canonical from c),
+v as (select *, 10 * i + 5 + i % 7 * 1000 ts from k),
+j as (
+  select v.i, v.canonical, v.ts, v.tag, max(x.i) filter (10 * x.i < v.ts) target from v join k x on x.canonical = v.canonical group by all
+)
+select 2 * j.i + 1 record_id, j.canonical,
+  case when j.target is not null and j.i % 10 <> 0 and x.tag = j.tag then 2 * j.target end target_id,
+  case when j.target is null then 'missing' when j.i % 10 <> 0 and x.tag = j.tag then 'resolved' else 'changed' end status,
+  case when j.target is not null and j.i % 10 <> 0 and x.tag = j.tag then 'cache-control: max-age=60\ncontent-length: ' || x.n
+    || '\ncontent-type: text/html\ndate: ' || j.ts || '\netag: "' || x.tag || '"' end headers
+from j left join k x on x.i = j.target""",
+}
