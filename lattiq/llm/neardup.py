@@ -8,9 +8,10 @@
   the ``32 - 10 + 1`` values of each sketch that the fewest classes retain: any two sketches
   with 10 values in common have one of those in common.  Values of frequent passages, and those
   of one class alone, drop out, and unrelated documents meet in no list.
-* Within a list, the estimate from the union of two sketches (shared values among its 32 least)
-  drops pairs under ``SHARED``.  Classes connected by the rest make a family, whose pairs that
-  pass the estimate are counted exactly on the full sets.
+* The estimate from the union of two sketches (shared values among its 32 least) drops pairs
+  under ``SHARED``.  Each class meets the most central one of its lists; only in lists that this
+  leaves in parts do the classes outside the largest part meet all, in blocks.  Classes so
+  connected make a family, whose pairs that pass the estimate are counted exactly on full sets.
 * A family of up to ``BLOCK`` classes is one unit of work.  A larger one first compares every
   class with its most central one; only what stays unlinked is compared with all, in blocks.
   Units emit the links of a spanning forest, never all pairs.
@@ -31,6 +32,8 @@ from lattiq.operators.components import components
 from .words import grams, mix, slices, word_hashes
 
 SKETCH, SHARED, BLOCK = 32, 10, 1024
+#: Bits, as a power of two, of the table that picks texts to read again: 4 MB.
+BITS = 25
 
 
 def shingle_set(words: list[bytes], k: int, h: np.ndarray | None = None) -> np.ndarray:
@@ -79,25 +82,63 @@ def _families(classes: DataFrame, block: int) -> DataFrame:
     least = F.least(F.lit(SHARED), F.ceil(F.col("n") * 0.8)).cast("int")
     room = F.greatest(F.lit(0), F.col("kept") - least + 1 - (F.col("kept") - F.size("common")))
     listed = common.withColumn("room", room).where("room > 0").select("rep", F.struct("weight", F.col("rep")).alias("central"), F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("x"))
-    listed = scratch.written(listed.select("rep", "central", F.col("x.v").alias("v")), "lists")
-    sizes = listed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
-    # a list of over ``block`` is met in pairs of blocks; others are one block
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    placed = listed.join(sizes, "v").select("v", "rep", blocks.alias("k"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("at"))
-    meets = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    placed = placed.select("v", "rep", "at", meets).select("v", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "rep")
-    placed = placed.join(classes.select("rep", "sketch"), "rep")
+    listed = listed.select("rep", "central", F.col("x.v").alias("v"))
+    hubs = listed.groupBy("v").agg(F.count("*").alias("m"), F.max("central")["rep"].alias("hub")).where("m > 1")
+    listed = scratch.written(listed.join(hubs, "v").select("v", "rep", "central", "hub"), "lists")
+
+    # each class meets the most central one of its lists first
+    pairs = listed.where("rep <> hub").select("rep", "hub").distinct()
+    one = classes.select("rep", F.col("sketch").alias("s"))
+    other = classes.select(F.col("rep").alias("hub"), F.col("sketch").alias("t"))
+    need = lambda s: F.ceil(F.size(s) * 0.8)
+    near = F.size(F.array_intersect("s", "t")) >= F.least(F.lit(SHARED), need("s"), need("t"))
+    spokes = pairs.join(one, "rep").join(other, "hub").where(near).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    spokes = scratch.written(spokes, "spokes")
+
+    # lists whose classes are not all in one family by now: those outside its largest meet all
+    now = components(spokes)
+    named = listed.join(now, F.col("rep") == F.col("node"), "left").select("v", "rep", F.coalesce("label", "rep").alias("label"))
+    parts = named.groupBy("v", "label").agg(F.count("*").alias("c"))
+    open_lists = parts.groupBy("v").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_lists = open_lists.select("v", "m", (F.col("m") - F.col("main.c")).alias("l"), F.col("main.label").alias("main"))
+    rows = scratch.written(named.join(open_lists, "v").select("v", "rep", "m", "l", (F.col("label") != F.col("main")).alias("far")), "open")
+    placed = crossed(rows, "v", [], block // 2).join(classes.select("rep", "sketch"), "rep")
 
     def meet(_, rows):
-        members = {r: np.array(s, np.int64).view(np.uint64) for r, s in rows}
-        names, sets = list(members), list(members.values())
-        return _forest(names, np.triu(estimated(sets, sets), 1), names) if len(names) > 1 else []
+        sides = [{r: np.array(s, np.int64).view(np.uint64) for x, r, s in rows if x == side} for side in (0, 1)]
+        names, sets = [list(x) for x in sides], [list(x.values()) for x in sides]
+        return _forest(names[0], estimated(*sets), names[1]) if all(names) else []
 
-    edges = base.streamed_groups(placed, ["v", "i", "j"], ["rep"], ["rep", "sketch"], meet, "a long, b long")
-    found = components(edges.distinct()).withColumnRenamed("node", "rep").withColumnRenamed("label", "family")
+    rest = base.streamed_groups(placed, ["v", "i", "j"], ["rep"], ["side", "rep", "sketch"], meet, "a long, b long")
+    found = components(spokes.unionByName(rest.distinct())).withColumnRenamed("node", "rep").withColumnRenamed("label", "family")
     return found.join(listed.groupBy("rep").agg(F.first("central").alias("central")), "rep")
 
 
+def crossed(rows: DataFrame, key: str, extra: list[str], half: int) -> DataFrame:
+    """``key, i, j, side, rep``: blocks of the ``l`` far rows of a group (side 0) by blocks of all
+    its ``m`` rows (side 1), each of about ``half`` rows."""
+    blocks = lambda n: F.ceil(F.col(n) / half).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    left = rows.where("far").select(key, at("l").alias("i"), each("m").alias("j"), F.lit(0).alias("side"), "rep", *extra)
+    right = rows.select(key, each("l").alias("i"), at("m").alias("j"), F.lit(1).alias("side"), "rep", *extra)
+    return left.unionByName(right)
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be in ``ids`` (``rep``), before any shuffle of texts.
+
+    The ids set bits of a table of ``2 ** BITS``, at most ``2 ** (BITS - 6)`` rows however many
+    there are, which is broadcast.  A row of another id passes only where hashes meet.
+    """
+    bit = lambda c: F.expr(f"xxhash64({c}) & {(1 << BITS) - 1}L")
+    word = lambda c: F.shiftright(bit(c), 6)
+    mask = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64({c}) & 63 as int))")
+    table = ids.groupBy(word("rep").alias("_word")).agg(F.bit_or(mask("rep")).alias("_bits"))
+    hit = (word("doc_id") == F.col("_word")) & (mask("doc_id").bitwiseAND(F.col("_bits")) != 0)
+    return docs.join(F.broadcast(table), hit, "left_semi")
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs of sets are similar: exact counts, as products of incidence matrices."""
     a, b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
@@ -136,19 +177,14 @@ def estimated(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _forest(names: list[int], pairs: np.ndarray, other: list[int]):
     """Links of a spanning forest of the similar pairs, each node to its root."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in zip(*np.nonzero(pairs), strict=True):
-        x, y = root(names[i]), root(other[j])
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return [(root(x), x) for x in parent if root(x) != x]
+    ids = np.unique(np.array([*names, *other], np.int64))
+    mine, theirs = np.searchsorted(ids, names), np.searchsorted(ids, other)
+    label = np.arange(len(ids))
+    for i in np.flatnonzero(pairs.any(1)):
+        met = np.unique(np.append(label[theirs[pairs[i]]], label[mine[i]]))
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return [(int(ids[label[x]]), int(ids[x])) for x in np.flatnonzero(label != np.arange(len(ids)))]
 
 
 def _links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int):
@@ -168,7 +204,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int = 80, block:
     families = scratch.written(_families(classes, block), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("m"), F.max("central").alias("c"))
     placed = families.join(sizes, "family").select("rep", "family", "m", F.col("c.rep").alias("center"))
-    texts = docs.join(placed, docs["doc_id"] == placed["rep"]).select("rep", "family", "m", "center", "text")
+    texts = among(docs, families).join(placed, F.col("doc_id") == F.col("rep")).select("rep", "family", "m", "center", "text")
 
     def make():
         def rows(columns):
@@ -208,18 +244,14 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int = 80, block:
     spokes = seen.where("near and rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
     far = seen.where("not near")
     left_over = far.groupBy("family").agg(F.count("*").alias("l"))
-    half = block // 2
-    blocks = lambda n: F.ceil(F.col(n) / half).cast("int")
-    every = large.join(left_over, "family").withColumn("h", F.xxhash64("rep"))
-    right = every.select("family", F.explode(F.sequence(F.lit(0), blocks("l") - 1)).alias("i"), F.pmod("h", blocks("m")).cast("int").alias("j"), F.lit(1).alias("side"), "rep", "shingles")
-    left = every.join(far.select("rep"), "rep", "left_semi")
-    left = left.select("family", F.pmod("h", blocks("l")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("j"), F.lit(0).alias("side"), "rep", "shingles")
+    every = large.join(left_over, "family").join(far.select("rep", F.lit(True).alias("far")), "rep", "left")
+    every = every.select("family", "rep", "shingles", "m", "l", F.coalesce("far", F.lit(False)).alias("far"))
 
     def across(_, rows):
         sides = [list({r: load(s) for x, r, s in rows if x == side}.items()) for side in (0, 1)]
         return _links(*sides, percent) if all(sides) else []
 
-    rest = base.streamed_groups(left.unionByName(right), ["family", "i", "j"], ["rep"], ["side", "rep", "shingles"], across, "a long, b long")
+    rest = base.streamed_groups(crossed(every, "family", ["shingles"], block // 2), ["family", "i", "j"], ["rep"], ["side", "rep", "shingles"], across, "a long, b long")
     return small.unionByName(spokes).unionByName(rest)
 
 
