@@ -113,12 +113,19 @@ def compared(docs: DataFrame, size: int = SIZE) -> DataFrame:
     starts = named.join(asked, ["doc_id", "th"]).select(F.col("for_id").alias("doc_id"), F.col("for_th").alias("th"), F.expr("substring(text, 1, need)").alias("start"))
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.coalesce("start", F.lit("")))
-    placed = named.join(starts, ["doc_id", "th"], "left").unionByName(rows.where("doc_id is null").withColumn("start", F.lit("")))
-    both = placed.select("doc_id", "th", "text", n.alias("n_chars"), edited.alias("edited"))
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
     keys = ["doc_id", "th", "n_chars", "edited_sha256", "own"]
-    texts = both.select(*keys[:4], F.explode(F.array(F.struct(F.lit(True).alias("own"), "text"), F.struct(F.lit(False).alias("own"), F.col("edited").alias("text")))).alias("s"))
-    made = scratch.written(signatures(texts.select(*keys[:4], "s.own", "s.text"), "text", keys, size), "signatures")
+
+    def signed(placed: DataFrame) -> DataFrame:
+        both = placed.select("doc_id", "th", "text", n.alias("n_chars"), edited.alias("edited"))
+        both = both.withColumn("edited_sha256", F.sha2("edited", 256))
+        texts = both.select(*keys[:4], F.explode(F.array(F.struct(F.lit(True).alias("own"), "text"), F.struct(F.lit(False).alias("own"), F.col("edited").alias("text")))).alias("s"))
+        return signatures(texts.select(*keys[:4], "s.own", "s.text"), "text", keys, size)
+
+    # the join has dealt named rows by id and hash, so their minima need no other exchange; a
+    # union below the aggregation would hide that
+    nameless = rows.where("doc_id is null").withColumn("start", F.lit(""))
+    made = signed(named.join(starts, ["doc_id", "th"], "left")).unionByName(signed(nameless))
+    made = scratch.written(made, "signatures")
     scratch.released(docs.sparkSession)
 
     own = made.where("own").select(*keys[:4], F.col("signature").alias("a"))
