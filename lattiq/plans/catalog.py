@@ -323,11 +323,20 @@ def n4_hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g12_split_by_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-cliques left after the edges between multiples of five are deleted from the paths."""
     e = part(spark, sf_dir)
-    gone = {frozenset((r["src"], r["dst"])) for r in e.where("src % 5 = 0 and dst % 5 = 0").toLocalIterator()}
+    gone = e.where("src % 5 = 0 and dst % 5 = 0").select(F.array("src", "dst").alias("c"))
     left = splits.split_paths(paths.clique_paths(e, least=4), 2, gone, 4)
     return paths.counts(left).where("k = 4").select(F.col("n").cast("long").alias("n"))
 
 
+@query(f"with {FOURS} select count(*) n from k4 where (a + b + c) % 7 <> 0 and (a + b + d) % 7 <> 0 and (a + c + d) % 7 <> 0 and (b + c + d) % 7 <> 0")
+def g13_split_by_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4-cliques left after the triangles whose ids sum to a multiple of seven are deleted."""
+    e = part(spark, sf_dir)
+    gone = cliques.k_cliques(e, 3).where("aggregate(c, 0L, (s, x) -> s + x) % 7 = 0")
+    left = splits.split_paths(paths.clique_paths(e, least=4), 3, gone, 4)
+    return paths.counts(left).where("k = 4").select(F.col("n").cast("long").alias("n"))
+
+
 @query("""select 'nation' || s_nationkey dataset, 3 r, 4 s, min(s_suppkey * 2.0) filter (s_suppkey % 3 <> 0) ms, count(*) runs from supplier group by 1""")
 def e9_best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = spark.read.parquet(f"{sf_dir}/supplier.parquet")
