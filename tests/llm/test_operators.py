@@ -225,6 +225,42 @@ def test_chroma_finds_shifted_recordings(spark):
     assert hits == {(i, 100 + i, 8) for i in range(12)} and {r["class_id"] for r in got if r["media_id"] == 200} == {0}
 
 
+def fewest_wrong(a, b, window):
+    """The least share of wrong bits over all runs of codes and all offsets."""
+    w, least = min(window, len(a), len(b)), 1.0
+    for o in range(w - len(a), len(b) - w + 1):
+        s = max(0, -o)
+        n = min(len(a) - s, len(b) - s - o)
+        wrong = np.r_[0, np.bitwise_count(np.array(a[s : s + n]) ^ np.array(b[s + o : s + o + n])).astype(int).cumsum()]
+        least = min(least, (wrong[w:] - wrong[:-w]).min() / (32 * w))
+    return least
+
+
+def aligned(spark, rows):
+    """Hits of the recordings with ids under 100, and what brute force has."""
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "media_id long, pcm binary, rate int")).cache()
+    hits = {(r["media_id"], r["hit_id"]): (r["errors"], r["offset"]) for r in chroma.align(prints, lambda c: c < 100).collect() if r["hit_id"] is not None}
+    codes = {r["media_id"]: r["codes"] for r in prints.collect()}
+    want = {(i, j): e for i in codes if i < 100 for j in codes if i != j and (e := fewest_wrong(codes[i], codes[j], 48)) <= 0.2}
+    return hits, want
+
+
+def test_chroma_recall_on_noisy_and_part_hop_recordings(spark):
+    rnd = np.random.default_rng(5)
+    songs = [np.frombuffer(chroma.melody(rnd.normal(0, 0.2, 64).tolist()), "<i2").astype(float) for _ in range(40)]
+    rows = [(i, s.astype("<i2").tobytes(), chroma.RATE) for i, s in enumerate(songs)]
+    for i, s in enumerate(songs):
+        late = np.r_[np.zeros(rnd.integers(1, 4 * chroma.HOP)), s]
+        noisy = late + rnd.normal(0, 8485 / 10 ** ((i % 5 * 4 - 3) / 20), len(late))
+        rows.append((100 + i, np.clip(noisy, -32768, 32767).astype("<i2").tobytes(), chroma.RATE))
+    short = (chroma.WIDTH + 3) * chroma.HOP + chroma.FRAME
+    rows.append((200, (songs[7] + rnd.normal(0, 800, len(songs[7])))[5000 : 5000 + short].astype("<i2").tobytes(), chroma.RATE))
+    hits, want = aligned(spark, rows)
+    assert sum((i, 100 + i) in want for i in range(40)) > 35 and (7, 200) in want
+    assert hits.keys() <= want.keys() and (7, 200) in hits
+    assert len(hits) >= 0.9 * len(want)
+
+
 def test_odd_rows_and_empty_tables(spark):
     for make in (odd, empty):
         docs = make(spark)
