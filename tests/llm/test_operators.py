@@ -261,6 +261,22 @@ def test_chroma_recall_on_noisy_and_part_hop_recordings(spark):
     assert len(hits) >= 0.9 * len(want)
 
 
+def test_chroma_finds_a_passage_in_other_recordings(spark):
+    rnd = np.random.default_rng(6)
+    tune = lambda n: rnd.normal(0, 0.2, n).tolist()
+    rows = []
+    for i in range(6):  # 40 notes in common, 150 others before and after; a long held note that both have, elsewhere
+        common, held = tune(40), [0.1] * 60
+        rows.append((i, chroma.melody(tune(150) + common + tune(150) + held), chroma.RATE))
+        rows.append((100 + i, chroma.melody(held + tune(80) + common + tune(220)), chroma.RATE))
+    hits, want = aligned(spark, rows)
+    assert hits.keys() <= want.keys() and {(i, 100 + i) for i in range(6)} <= hits.keys()
+    assert len(hits) >= 0.9 * len(want)
+    only = [(0, chroma.melody(tune(150) + (c := tune(40)) + tune(150)), chroma.RATE), (100, chroma.melody(tune(60) + c + tune(250)), chroma.RATE)]
+    errors, offset = aligned(spark, only)[0][0, 100]
+    assert errors < 0.2 and abs(offset + 90 * chroma.NOTE / chroma.HOP) < 2
+
+
 def test_odd_rows_and_empty_tables(spark):
     for make in (odd, empty):
         docs = make(spark)
