@@ -203,8 +203,46 @@ def _pattern() -> re.Pattern[str]:
 
 
 PATTERN = _pattern()
+ALONE = {name: re.compile(p) for name, (p, _) in KINDS.items()}
 HINT = re.compile(r"[0-9@]")
 
+#: Digits after the country code, where a country has one length.
+NATIONAL = {"1": 10, "7": 10, "20": 10, "27": 9, "30": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "52": 10, "61": 9, "86": 11, "90": 10, "91": 10, "351": 9, "420": 9}
+
+
+def endings(kind: str, value: str) -> list[str]:
+    """``value`` and its beginnings up to group boundaries that have the pattern of ``kind``, in
+    the order they are tried: a phone of the length of its country and a card number without
+    separators first, else the longest."""
+    if kind not in ("iban", "phone", "card"):
+        return [value]
+    cuts = (i for i in range(len(value) - 1, 0, -1) if value[i - 1].isalnum() and not value[i].isalnum())
+    out = [value, *(v for i in cuts if ALONE[kind].fullmatch(v := value[:i]))]
+    if kind == "card":
+        out.sort(key=lambda v: not v.isdigit())
+    if kind == "phone" and value[0] == "+":
+        d = only_digits(value)
+        known = [n + NATIONAL[d[:n]] for n in (1, 2, 3) if d[:n] in NATIONAL]
+        out.sort(key=lambda v: len(only_digits(v)) not in known)
+    return out
+
+
+def _replaced(text: str, m: re.Match[str], key: bytes) -> tuple[str, int] | None:
+    """The pseudonym of the value at a match, and its end: a value that fails one kind may be of a
+    later one; where all fail, shorter endings are tried."""
+    shorter = []
+    for name, (_, f) in KINDS.items():
+        value = m[0] if m.lastgroup == name else k[0] if (k := ALONE[name].match(text, m.start())) else None
+        if value is not None:
+            first, *rest = endings(name, value)
+            shorter += [(f, v) for v in rest]
+            if (new := f(first, key)) is not None:
+                return new, m.start() + len(first)
+    for f, v in shorter:
+        if (new := f(v, key)) is not None:
+            return new, m.start() + len(v)
+    return None
+
 
 def pseudonymised(text: str, key: bytes) -> tuple[str, int]:
     """The text with each valid value replaced, and how many were."""
@@ -213,18 +251,12 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, int]:
     out, at, n = [], 0, 0
     pos = 0
     while m := PATTERN.search(text, pos):
-        new = None
-        for name, (p, f) in KINDS.items():  # a value that fails one kind may be of a later one
-            if m.lastgroup == name or (k := re.compile(p).match(text, m.start())):
-                value = m[0] if m.lastgroup == name else k[0]
-                if (new := f(value, key)) is not None:
-                    end = m.start() + len(value)
-                    break
-        if new is None:
+        if (made := _replaced(text, m, key)) is None:
             pos = m.start() + 1
             while pos < len(text) and text[pos - 1].isalnum() and text[pos].isalnum():
                 pos += 1
             continue
+        new, end = made
         out += [text[at : m.start()], new]
         at = pos = end
         n += 1

@@ -136,6 +136,23 @@ def test_pseudonyms():
     assert len({pii.permute(i, 7, 5, key, "t", 33) for i in range(33)}) == 33
 
 
+def test_pseudonyms_of_values_before_numbers_and_capital_words():
+    key = b"k"
+    values = {
+        "4245100581169930": [f" {i:03d}" for i in range(200)] + ["-12", " 2024 01"],
+        "4245 1005 8116 9930": [" 12/27", " 123 4"],
+        "GB82WEST12345698765432": [" I paid", " PLEASE PAY NOW", " A"],
+        "GB82 WEST 1234 5698 7654 32": [" EUR 500", " OK"],
+        "+1 (682) 555-5413": [" 2024", " 20245", "-17", " 12 34"],
+        "+44 20 7946 0958": [" 2024", " 11"],
+    }
+    for v, rests in values.items():
+        alone, n = pii.pseudonymised(v, key)
+        assert n == 1 and alone != v
+        for rest in rests:
+            assert pii.pseudonymised(f"x {v}{rest}", key)[0] == f"x {alone}{rest}"
+
+
 def test_packing(spark):
     got = packing.assign(base.documents(spark, SF), capacity=300).collect()
     source = {r["doc_id"]: r["source"] for r in base.documents(spark, SF).collect()}
