@@ -98,16 +98,16 @@ def compared(docs: DataFrame, size: int = SIZE) -> DataFrame:
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next`` for each row of ``docs``.  The edited text ends in the start of the next document
     instead of its own last quarter.  Null texts are empty; empty texts share a fingerprint.
-    Rows that repeat an id and its text are one document in the order, and get a row each; rows
+    Rows that repeat an id (or none) and its text are one document, and get a row each; rows
     with one id and different texts follow by a hash of the text.  Rows without an id have no
     next document: their last quarter is cut off and ``near_next`` is 0.
     """
     rows = docs.select("doc_id", base.text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
     named = rows.where("doc_id is not null")
-    ids = named.select("doc_id", "th", F.length("text").alias("n"))
+    ids = rows.select("doc_id", "th", F.length("text").alias("n"))
     once = ids.groupBy("doc_id", "th").agg(F.count("*").alias("times"), F.first("n").alias("n"))
     once = scratch.written(once, "ids")
-    after = scratch.written(_next(once.select("doc_id", "th"), base.partitions(docs)), "next")
+    after = scratch.written(_next(once.where("doc_id is not null").select("doc_id", "th"), base.partitions(docs)), "next")
     asked = after.join(once.select("doc_id", "th", F.floor(F.col("n") / 4).cast("int").alias("need")), ["doc_id", "th"])
     asked = asked.select(F.col("doc_id").alias("for_id"), F.col("th").alias("for_th"), "need", F.col("next_id").alias("doc_id"), F.col("next_th").alias("th"))
     starts = named.join(asked, ["doc_id", "th"]).select(F.col("for_id").alias("doc_id"), F.col("for_th").alias("th"), F.expr("substring(text, 1, need)").alias("start"))
@@ -133,8 +133,9 @@ def compared(docs: DataFrame, size: int = SIZE) -> DataFrame:
     follower = made.where("own and doc_id is not null").select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("signature").alias("c"))
     out = own.join(changed, own["doc_id"].eqNullSafe(changed["e_doc_id"]) & (own["th"] == changed["e_th"]))
     out = out.join(after, ["doc_id", "th"], "left").join(follower, ["next_id", "next_th"], "left")
-    out = out.join(once.where("times > 1").select("doc_id", "th", "times"), ["doc_id", "th"], "left")
-    repeated = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.coalesce(F.col("times"), F.lit(1))).cast("int")
+    many = once.where("times > 1").select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), "times")
+    out = out.join(many, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
+    repeated = F.coalesce("times", F.lit(1)).cast("int")
     return out.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),

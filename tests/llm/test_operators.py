@@ -102,6 +102,13 @@ def test_fingerprints_follow_the_contract(spark):
     assert np.mean([r["near_edited"] for r in got]) > 0.25 > 0.05 > np.mean([r["near_next"] for r in got])
 
 
+def test_rows_without_an_id_keep_their_count(spark):
+    rows = [(None, "a b c d e")] * 3 + [(None, None), (None, ""), (None, "x"), (1, "a b c d e"), (1, "a b c d e"), (2, "")]
+    got = ordermin.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == {(None, 9): 3, (None, 0): 2, (None, 1): 1, (1, 9): 2, (2, 0): 1}
+    assert len({(r["fingerprint"], r["edited_sha256"]) for r in got if (r["doc_id"], r["n_chars"]) == (None, 9)}) == 1
+
+
 def test_occurrences_count(spark):
     rows = spark.createDataFrame([(1, "a b c " * 9), (2, "a b c " * 40), (3, "c b a " * 9)], "i long, text string")
     s = {r["i"]: r["signature"] for r in ordermin.signatures(rows, "text", ["i"]).collect()}
