@@ -133,7 +133,11 @@ def edge_counts(paths: DataFrame, max_k: int | None = None) -> DataFrame:
 def summary(paths: DataFrame, r: int = 2) -> DataFrame:
     """Paths, the largest clique, and how many (path, ``r``-subset) pairs there are."""
     length = F.size("hold") + F.size("pivot")
-    b = F.broadcast(binomials(paths.sparkSession, min(400, (paths.agg(F.max(length)).first()[0] or 0))).where(F.col("k") == r))
+    longest = paths.agg(F.max(length)).first()[0] or 0
+    if comb(longest, r) >= 10**38:
+        raise OverflowError(f"counts over 38 digits: C({longest}, {r})")
+    chosen = [(n, str(comb(n, r))) for n in range(r, longest + 1)]
+    b = F.broadcast(paths.sparkSession.createDataFrame(chosen, "n int, c string").select("n", F.col("c").cast("decimal(38,0)").alias("c")))
     sized = paths.select(length.alias("len"))
     return sized.join(b, F.col("n") == F.col("len"), "left").agg(F.count("*").alias("paths"), F.max("len").alias("max_clique"), F.sum("c").cast("decimal(38,0)").alias("pairs"))
 

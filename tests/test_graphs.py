@@ -75,6 +75,17 @@ def test_random_graphs_against_brute_force(spark):
     assert {frozenset(r["c"]) for r in paths.maximal_cliques(e).collect()} == {c for c in every if not any(c < d for d in every)}
 
 
+def test_summary_of_long_paths(spark):
+    rows = [(0, [0], list(range(1, n))) for n in (3, 400, 401, 1200)] + [(7, [7], [])]
+    p = spark.createDataFrame(rows, "root long, hold array<long>, pivot array<long>")
+    for r in (2, 3, 12):
+        got = paths.summary(p, r).first()
+        assert (got["paths"], got["max_clique"], int(got["pairs"])) == (5, 1200, sum(comb(n, r) for n in (1, 3, 400, 401, 1200)))
+    with pytest.raises(OverflowError):
+        paths.summary(p, 20)
+    assert paths.summary(p.limit(0)).first()["paths"] == 0
+
+
 def test_hierarchy(spark):
     edges = GOLDEN["k5_k4_edge"][0]
     got = nucleus.hierarchy(table(spark, edges), r=2, s=3).groupBy("level", "level_value", "component").count().collect()
