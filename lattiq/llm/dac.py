@@ -177,7 +177,7 @@ def _mapped_with_end(df: DataFrame, make, ddl: str) -> DataFrame:
                 yield from map(batch, rows(b.columns))
         yield from map(batch, end())
 
-    return df.mapInArrow(run, schema)
+    return base.arrow_mapped(df, run, schema)
 
 
 def bases(files: DataFrame) -> DataFrame:

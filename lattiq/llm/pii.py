@@ -14,6 +14,8 @@ from hashlib import blake2b
 
 from pyspark.sql import DataFrame
 
+from . import base
+
 ROUNDS = 10
 
 
@@ -294,4 +296,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", length: str |
                 columns[count] = pa.array([n for _, n in new], pa.int64())
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in arrow], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return base.arrow_mapped(docs, run, schema)

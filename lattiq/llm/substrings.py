@@ -224,7 +224,7 @@ def _shards(rows: DataFrame, window: int) -> DataFrame:
             closed()
         yield batch()
 
-    return rows.select("h", "b", "times", "doc_id", "p", "words").mapInArrow(run, schema)
+    return base.arrow_mapped(rows.select("h", "b", "times", "doc_id", "p", "words"), run, schema)
 
 
 def covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
@@ -299,7 +299,7 @@ def remove(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, many: int =
                 columns[length] = pa.array(sizes, arrow.field(length).type)
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in arrow], schema=arrow)
 
-    return joined.mapInArrow(run, docs.schema)
+    return base.arrow_mapped(joined, run, docs.schema)
 
 
 def _without(text: str, spans: list[dict], window: int) -> str:

@@ -223,4 +223,4 @@ def kept(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
                 s = model.score(np.array([features(t or "", model.lexicon) for t in texts]))
                 yield batch.filter(pa.array(s < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return base.arrow_mapped(docs, run, docs.schema)

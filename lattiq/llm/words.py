@@ -11,7 +11,8 @@ import numpy as np
 import xxhash
 
 MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_CACHE_WORDS = 400_000
+#: Words kept per worker, about 20 MB; the cache holds results only.
+_CACHE_WORDS = 100_000
 
 
 class _Hashes(dict):
