@@ -62,10 +62,15 @@ class Lexicon:
     def weights(self) -> dict[str, float]:
         return dict(self.begun)
 
-    def weight(self, word: str) -> float:
-        """The largest weight of a beginning of ``word``, 0 if none is known."""
-        known = self.weights
-        return max((known.get(word[:k], 0.0) for k in BEGINNINGS if len(word) >= k), default=0.0)
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        return frozenset(w[: BEGINNINGS[0]] for w, _ in self.begun)
+
+    def weighed(self, words: set[str]) -> dict[str, float]:
+        """Those of ``words`` with a known beginning, and the largest weight of one."""
+        known, heads = self.weights, self.heads
+        found = [w for w in words if w[: BEGINNINGS[0]] in heads]
+        return {w: x for w in found if (x := max(known.get(w[:k], 0.0) for k in BEGINNINGS))}
 
 
 def _stems(words: frozenset[str]) -> frozenset[str]:
@@ -78,27 +83,23 @@ def features(text: str, lexicon: Lexicon, near: int = 5) -> list[float]:
         return [0.0] * len(FEATURES)
     low = text.lower()
     words = [w.strip(EDGE) for w in low.split()]
-    n, chars = len(words), len(text)
-    learned = lexicon.words
-    hits = [i for i, w in enumerate(words) if w in INSULTS or w in learned]
+    n, chars, kinds = len(words), len(text), set(words)
+    listed = {w for w in kinds if w in INSULTS or w in lexicon.words}
+    hits = [i for i, w in enumerate(words) if w in listed] if listed else []
     plain = sum(words[i] in INSULTS for i in hits)
-    begun = {w: x for w in set(words) if (x := lexicon.weight(w))}
-    weights = [begun[w] for w in words if w in begun]
-    hidden = []
-    for i, w in enumerate(words):
-        if w and w not in INSULTS and (not w.isalpha() or DRAWN.search(w)):
-            bare = RUNS.sub(r"\1", "".join(c for c in w.translate(LEET) if c.isalpha()))
-            if bare in lexicon.stems:
-                hidden.append(i)
+    begun = lexicon.weighed(kinds)
+    weights = [begun[w] for w in words if w in begun] if begun else []
+    odd = [w for w in kinds if w and w not in INSULTS and (not w.isalpha() or DRAWN.search(w))]
+    masked = {w for w in odd if RUNS.sub(r"\1", "".join(c for c in w.translate(LEET) if c.isalpha())) in lexicon.stems}
+    hidden = [i for i, w in enumerate(words) if w in masked] if masked else []
     for m in SPACED.finditer(low):
         if RUNS.sub(r"\1", re.sub(r"\W|_", "", m[0])) in lexicon.stems:
             hidden.append(low.count(" ", 0, m.start()))
     found = hits + hidden
-    second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     close = sum(bool(set(words[max(0, i - near) : i + near + 1]) & SECOND_PERSON) for i in found)
     return [
         np.log1p(n), len(hits) / n, float(len(hits)), float(len({words[i] for i in hits})), (len(hits) - plain) / n, float(len(hits) - plain),
-        len(hidden) / n, float(len(hidden)), float(close), close / max(1, len(found)), len(second) / n,
+        len(hidden) / n, float(len(hidden)), float(close), close / max(1, len(found)), sum(map(SECOND_PERSON.__contains__, words)) / n,
         len(UPPER.findall(text)) / chars, len(SHOUT.findall(text)) / n, len(SIGNS.findall(text)) / chars, len(LOUD.findall(text)) / chars,
         len(DRAWN.findall(low)) / n, len(MIXED.findall(low)) / n, sum(map(low.count, "0123456789")) / chars,
         sum(weights) / n, float(len(weights)), len(begun) / n, max(weights, default=0.0),
