@@ -58,7 +58,8 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = chroma.fingerprints(chroma.tunes(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    media = chroma.tunes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    prints = chroma.fingerprints(media, chroma.fitted_levels(media))
     return chroma.align(prints, lambda media_id: media_id % 50 == 0)
 
 

@@ -334,3 +334,20 @@ def test_pipeline(spark):
         if name == "pii":
             assert {r["doc_id"]: r["text"] for r in docs.collect()} == {i: pii.pseudonymised(t, queries.pseudonym_key(spark))[0] for i, t in rows.items()}
     assert corpus_pipeline.run(spark, SF).select(F.sum("n_words")).first()[0] == sum(len(r["text"].split()) for r in docs.collect())
+
+
+def test_chroma_recall_with_fitted_levels(spark):
+    rnd = np.random.default_rng(8)
+    songs = [np.frombuffer(chroma.melody(rnd.normal(0, 0.2, 64).tolist()), "<i2").astype(float) for _ in range(30)]
+    changes = [lambda s: s[100:], lambda s: s[50:], lambda s: np.round(s * 0.1), lambda s: s[128:] + rnd.normal(0, 2683, len(s) - 128), lambda s: s + rnd.normal(0, 848, len(s))]
+    rows = [(i, s.astype("<i2").tobytes(), chroma.RATE, "x") for i, s in enumerate(songs)]
+    rows += [(100 * k + i, np.clip(f(s), -32768, 32767).astype("<i2").tobytes(), chroma.RATE, "x") for k, f in enumerate(changes, 1) for i, s in enumerate(songs)]
+    media = spark.createDataFrame(rows, "media_id long, pcm binary, rate int, codes string")
+    prints = chroma.fingerprints(media, chroma.fitted_levels(media)).cache()
+    hits = {(r["media_id"], r["hit_id"]) for r in chroma.align(prints, lambda c: c < 30).collect() if r["hit_id"] is not None}
+    codes = {r["media_id"]: r["codes"] for r in prints.collect()}
+    want = {(i, j) for i in range(30) for j in codes if i != j and fewest_wrong(codes[i], codes[j], 48) <= 0.2}
+    assert {(i, 100 * k + i) for i in range(30) for k in range(1, 6)} <= want
+    assert hits <= want and len(hits) >= 0.9 * len(want)
+    none = spark.createDataFrame([], media.schema)
+    assert chroma.align(chroma.fingerprints(none, chroma.fitted_levels(none)), lambda c: c < 30).count() == 0
