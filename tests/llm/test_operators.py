@@ -346,8 +346,10 @@ def test_chroma_recall_with_fitted_levels(spark):
     prints = chroma.fingerprints(media, chroma.fitted_levels(media)).cache()
     hits = {(r["media_id"], r["hit_id"]) for r in chroma.align(prints, lambda c: c < 30).collect() if r["hit_id"] is not None}
     codes = {r["media_id"]: r["codes"] for r in prints.collect()}
-    want = {(i, j) for i in range(30) for j in codes if i != j and fewest_wrong(codes[i], codes[j], 48) <= 0.2}
-    assert {(i, 100 * k + i) for i in range(30) for k in range(1, 6)} <= want
+    every = {(i, j) for i in range(30) for j in codes if i != j and fewest_wrong(codes[i], codes[j], 48) <= 0.2}
+    assert {(i, 100 * k + i) for i in range(30) for k in range(1, 6)} <= every
+    want = {(i, j) for i, j in every if codes[i] != codes[j]}  # equal lists are one class, whose least member has the hits
+    assert len(want) > 100
     assert hits <= want and len(hits) >= 0.9 * len(want)
     none = spark.createDataFrame([], media.schema)
     assert chroma.align(chroma.fingerprints(none, chroma.fitted_levels(none)), lambda c: c < 30).count() == 0
