@@ -1,7 +1,7 @@
 """Tables written to the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Only where it is unset (tests, a
-laptop) a temporary folder of this machine takes its place.
+``spark.checkpoint.dir`` names that folder on a cluster.  Only where it is unset and Spark runs in
+this one machine's process (tests, a laptop) a temporary folder takes its place.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="lattiq-")
         spark.sparkContext.setCheckpointDir(_own)
