@@ -180,8 +180,10 @@ def secret(s: str, key: bytes) -> str | None:
     return by_class(s, key, "hex", ("0123456789abcdef" if s == s.lower() else "0123456789ABCDEF",))
 
 
+#: Each pattern can only start where a run of its characters starts, so a long run (a picture as
+#: text) is scanned once, not once from each of its places.
 KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
-    "email": (r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     "secret": (r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])", secret),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z])", iban),
     "date": (r"(?<![0-9.])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|\.[0-9])", date),

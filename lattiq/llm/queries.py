@@ -58,8 +58,9 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = chroma.tunes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    prints = chroma.fingerprints(media, chroma.fitted_levels(media))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    levels = chroma.fitted_levels(chroma.tunes(chroma.first_by_hash(vectors, "vec_id", 256)))
+    prints = chroma.fingerprints(chroma.tunes(vectors), levels)
     return chroma.align(prints, lambda media_id: media_id % 50 == 0)
 
 

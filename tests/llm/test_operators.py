@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -353,3 +354,30 @@ def test_chroma_recall_with_fitted_levels(spark):
     assert hits <= want and len(hits) >= 0.9 * len(want)
     none = spark.createDataFrame([], media.schema)
     assert chroma.align(chroma.fingerprints(none, chroma.fitted_levels(none)), lambda c: c < 30).count() == 0
+
+
+def test_pseudonyms_scan_long_runs_once():
+    rnd = random.Random(3)
+    run = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+", k=1_000_000))
+    for text in (run, run.replace("+", "."), run[:500_000] + "@", "1" * 1_000_000, "a@" * 200_000, "a.b@c." * 150_000, "- 1" * 300_000):
+        began = time.process_time()
+        pii.pseudonymised(text + " a.b@mail.example.com", b"k")
+        assert time.process_time() - began < 10
+    assert pii.pseudonymised(run + " a.b@mail.example.com", b"k")[1] >= 1
+
+
+def test_equal_values_stay_linked_over_a_table(spark):
+    """Brute force: each planted value, alone and in every text, has one pseudonym, and no two values share one."""
+    key, rnd = b"k", random.Random(4)
+    made = lambda n: "".join(rnd.choices("0123456789", k=n))
+    values = {f"{a}.{b}@ex{a}.example.org" for a, b in zip(range(40), "abcdefghij" * 4, strict=True)}
+    values |= {f"{rnd.randint(1950, 2020)}-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d}" for _ in range(40)}
+    values |= {(body := "4" + made(14)) + pii.luhn_digit(body) for _ in range(40)}
+    alone = {v: pii.pseudonymised(v, key) for v in values}
+    assert all(n == 1 for _, n in alone.values()) and len({t for t, _ in alone.values()}) == len(values)
+    order = sorted(values)
+    rows = [(i, f"x {order[i % len(order)]}, y {order[i * 7 % len(order)]}; z") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.pseudonymise(docs, key, count="n").collect():
+        i = r["doc_id"]
+        assert (r["text"], r["n"]) == (f"x {alone[order[i % len(order)]][0]}, y {alone[order[i * 7 % len(order)]][0]}; z", 2)
