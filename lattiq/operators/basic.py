@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lattiq import scratch
-from lattiq.sources.graphs import canonical, symmetric
+from lattiq.sources.graphs import canonical, numbered, symmetric
 
 
 def degrees(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -36,20 +36,19 @@ def over_degree(edges: DataFrame, least: int) -> DataFrame:
 
 def degree_order(edges: DataFrame, ascending: bool = True) -> DataFrame:
     """``id, rank`` from 0; ties by id (O1)."""
-    by = F.col("degree") if ascending else F.col("degree").desc()
-    return degrees(edges).select("id", (F.row_number().over(Window.orderBy(by, "id")) - 1).cast("long").alias("rank"))
+    d = degrees(edges).withColumn("by", F.col("degree") if ascending else -F.col("degree"))
+    return numbered(d, ["by", "id"]).select("id", "rank")
 
 
 def degeneracy_order(edges: DataFrame, cores: DataFrame) -> DataFrame:
     """``id, rank`` by core, degree and id (O3).  Any total order gives equal counts."""
-    rows = degrees(edges).join(cores, "id")
-    return rows.select("id", (F.row_number().over(Window.orderBy("core", "degree", "id")) - 1).cast("long").alias("rank"))
+    return numbered(degrees(edges).join(cores, "id"), ["core", "degree", "id"]).select("id", "rank")
 
 
 def random_order(edges: DataFrame, seed: int = 1) -> DataFrame:
     """By a seeded hash of the id, so it is the same for any layout."""
     ids = degrees(edges).select("id", F.xxhash64("id", F.lit(seed)).alias("h"))
-    return ids.select("id", (F.row_number().over(Window.orderBy("h", "id")) - 1).cast("long").alias("rank"))
+    return numbered(ids, ["h", "id"]).select("id", "rank")
 
 
 def bfs_order(edges: DataFrame) -> DataFrame:
@@ -66,8 +65,8 @@ def bfs_order(edges: DataFrame) -> DataFrame:
         if not new.head(1):
             break
         seen, depth = scratch.written(seen.unionByName(new), "bfs"), depth + 1
-    rank = F.row_number().over(Window.orderBy(F.desc("root"), F.desc("depth"), F.desc("id"))) - 1
-    return seen.withColumn("rank", rank.cast("long"))
+    down = seen.select("*", *[(-F.col(c)).alias(f"_{c}") for c in ("root", "depth", "id")])
+    return numbered(down, ["_root", "_depth", "_id"]).select("id", "root", "depth", "rank")
 
 
 def oriented(edges: DataFrame, order: DataFrame | None = None) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
+from lattiq.functions import rank, subsets
 
 from .basic import oriented
 
@@ -28,9 +28,11 @@ def k_cliques(edges: DataFrame, k: int, order: DataFrame | None = None) -> DataF
     return rows.select(F.sort_array(F.concat("c", F.array("last"))).alias("c"))
 
 
-def subsets(c: str, size: int, r: int) -> Column:
-    """All sorted ``r``-subsets of a sorted array of known ``size``."""
-    return F.array(*[F.array(*[F.col(c)[i] for i in x]) for x in combinations(range(size), r)])
+def numbering_faults(cliques: DataFrame, c: str, size: int) -> DataFrame:
+    """One row: how many cliques there are, how many numbers :func:`rank` gives them, and how many
+    numbers stand for two (F9); without a fault the first two are equal and the last is 0."""
+    each = cliques.select(c).distinct().groupBy(rank(c, size).alias("number")).agg(F.count("*").alias("k"))
+    return each.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("cliques"), F.count("*").alias("numbers"), F.coalesce(F.sum((F.col("k") > 1).cast("long")), F.lit(0)).alias("shared"))
 
 
 def incidence(cliques: DataFrame, s: int, r: int) -> DataFrame:
@@ -45,14 +47,3 @@ def count_cliques(edges: DataFrame, k: int) -> DataFrame:
 def per_subset(edges: DataFrame, k: int, r: int) -> DataFrame:
     """``rc, n``: ``k``-cliques around each ``r``-clique that lies in one."""
     return incidence(k_cliques(edges, k), k, r).groupBy("rc").agg(F.count("*").alias("n"))
-
-
-def rank(c: str, size: int) -> Column:
-    """Combinatorial number of a sorted tuple: the sum of C(c_i, i + 1) (F4), exact in decimals."""
-    total = F.lit(0).cast("decimal(38,0)")
-    for i in range(size):
-        term = F.lit(1).cast("decimal(38,0)")
-        for j in range(i + 1):  # the product of j + 1 consecutive numbers divides by (j + 1)!
-            term = F.floor(term * (F.col(c)[i] - j) / F.lit(j + 1)).cast("decimal(38,0)")
-        total = total + term
-    return total.cast("decimal(38,0)")
