@@ -144,15 +144,15 @@ def _sized(paths: DataFrame) -> DataFrame:
     return paths.select("hold", "pivot", F.size("hold").alias("h"), F.size("pivot").alias("p"))
 
 
-def _binomials(paths: DataFrame, max_k: int | None = None) -> DataFrame:
-    """``n, k, c``: the binomials that counts up to ``max_k`` take, for lengths up to the widest.
+def _binomials(sized: DataFrame, max_k: int | None = None) -> DataFrame:
+    """``n, k, c``: the binomials that counts up to ``max_k`` take, for pivots up to the widest ``p``.
     What does not fit 38 digits raises; :func:`exact_counts` has no such bound."""
-    widest = paths.agg(F.max(F.size("pivot"))).first()[0] or 0
+    widest = sized.agg(F.max("p")).first()[0] or 0
     top = widest if max_k is None else min(widest, max_k)
     if comb(widest, min(top, widest // 2)) >= 10**38:
         raise OverflowError(f"counts over 38 digits: C({widest}, {min(top, widest // 2)}); ask for fewer sizes or exact_counts")
     rows = ((n, k, str(comb(n, k))) for n in range(widest + 1) for k in range(min(n, top) + 1))
-    spark = paths.sparkSession
+    spark = sized.sparkSession
     table = spark.createDataFrame(list(rows), "n int, k int, c string").select("n", "k", F.col("c").cast("decimal(38,0)").alias("c"))
     return F.broadcast(table)  # (widest + 1) times (top + 1) rows at most, and both are lengths of cliques
 
@@ -160,13 +160,13 @@ def _binomials(paths: DataFrame, max_k: int | None = None) -> DataFrame:
 def counts(paths: DataFrame, max_k: int | None = None, empty: bool = False) -> DataFrame:
     """``k, n decimal``: cliques of each size (A4, A5); a path gives C(p, k - h).  ``empty``: also
     the one clique of no vertices, if there are paths."""
-    b = _binomials(paths, max_k)
-    joined = _sized(paths).groupBy("h", "p").agg(F.count("*").alias("times")).join(b, F.col("n") == F.col("p"))
+    sized = scratch.written(_sized(paths).groupBy("h", "p").agg(F.count("*").alias("times")), "sizes")
+    joined = sized.join(_binomials(sized, max_k), F.col("n") == F.col("p"))
     out = joined.select((F.col("h") + F.col("k")).alias("k"), (F.col("times") * F.col("c")).alias("x"))
     out = out if max_k is None else out.where(F.col("k") <= max_k)
     found = out.groupBy("k").agg(F.sum("x").cast("decimal(38,0)").alias("n"))
     if empty:
-        none = paths.limit(1).select(F.lit(0).alias("k"), F.lit(1).cast("decimal(38,0)").alias("n"))
+        none = sized.limit(1).select(F.lit(0).alias("k"), F.lit(1).cast("decimal(38,0)").alias("n"))
         found = found.unionByName(none)
     return found
 
@@ -207,8 +207,11 @@ def _roles(paths: DataFrame) -> DataFrame:
     return _sized(paths).withColumn("nodes", F.concat(tag("hold", 0), tag("pivot", 1)))
 
 
-def _spread(rows: DataFrame, b: DataFrame, keys: list[str], max_k: int | None) -> DataFrame:
-    joined = rows.groupBy(*keys, "h", "p", "j").agg(F.count("*").alias("times")).join(b, F.col("n") == F.col("p") - F.col("j"))
+def _spread(rows: DataFrame, keys: list[str], max_k: int | None) -> DataFrame:
+    """Counts per key from members' roles; equal roles are counted first, and written, so the paths
+    are searched once."""
+    grouped = scratch.written(rows.groupBy(*keys, "h", "p", "j").agg(F.count("*").alias("times")), "roles")
+    joined = grouped.join(_binomials(grouped, max_k), F.col("n") == F.col("p") - F.col("j"))
     out = joined.select(*keys, (F.col("h") + F.col("j") + F.col("k")).alias("k"), (F.col("times") * F.col("c")).alias("x"))
     out = out if max_k is None else out.where(F.col("k") <= max_k)
     return out.groupBy(*keys, "k").agg(F.sum("x").cast("decimal(38,0)").alias("n"))
@@ -217,7 +220,7 @@ def _spread(rows: DataFrame, b: DataFrame, keys: list[str], max_k: int | None) -
 def vertex_counts(paths: DataFrame, max_k: int | None = None) -> DataFrame:
     """``id, k, n``."""
     rows = _roles(paths).select("h", "p", F.explode("nodes").alias("x")).select("h", "p", F.col("x.v").alias("id"), F.col("x.j").alias("j"))
-    return _spread(rows, _binomials(paths, max_k), ["id"], max_k)
+    return _spread(rows, ["id"], max_k)
 
 
 def _edge_roles(paths: DataFrame) -> DataFrame:
@@ -228,7 +231,7 @@ def _edge_roles(paths: DataFrame) -> DataFrame:
 
 def edge_counts(paths: DataFrame, max_k: int | None = None) -> DataFrame:
     """``src, dst, k, n``."""
-    return _spread(_edge_roles(paths), _binomials(paths, max_k), ["src", "dst"], max_k)
+    return _spread(_edge_roles(paths), ["src", "dst"], max_k)
 
 
 def edge_cover(paths: DataFrame) -> DataFrame:
