@@ -36,7 +36,7 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.assign(base.documents(spark, sf_dir))
+    return packing.sequences(base.documents(spark, sf_dir))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
