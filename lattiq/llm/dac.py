@@ -13,9 +13,11 @@ and per level an int64 length, the chunks, the bitmap (little bit order) and the
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -53,94 +55,125 @@ def pack(doc_ids: list[int | None], offsets: np.ndarray, ids: np.ndarray) -> byt
 
 
 class Reader:
-    """Random access to a file's bytes."""
+    """Random access to a file: to its bytes, or to an open file of which only what is asked for is
+    read (``seek`` and ``read``; see :func:`opened`)."""
 
-    def __init__(self, raw: bytes):
-        if raw[:8] != MAGIC:
+    def __init__(self, source):
+        self.source = source
+        if self._bytes(0, 8) != MAGIC:
             raise ValueError("not a file of directly addressable codes")
-        at = 8
-        take = lambda kind, n: np.frombuffer(raw, kind, n, at)
-        n_docs, self.n_ids, n_levels = map(int, take("<i8", 3))
-        at += 24
-        names = take("<i8", n_docs)
-        at += 8 * n_docs
-        nulls = take(np.uint8, n_docs)
-        at += n_docs + -n_docs % 8
-        self.doc_ids = [None if z else int(x) for x, z in zip(names, nulls, strict=True)]
-        self.offsets = take("<i8", n_docs + 1)
-        at += 8 * (n_docs + 1)
+        self.n_docs, self.n_ids, n_levels = map(int, self._take("<i8", 3, 8))
+        self.names_at = 32
+        self.nulls_at = self.names_at + 8 * self.n_docs
+        self.offsets_at = self.nulls_at + self.n_docs + -self.n_docs % 8
+        at = self.offsets_at + 8 * (self.n_docs + 1)
+        #: Per level: its ids, and where its chunks, its bitmap and its directory begin.
         self.levels = []
         for _ in range(n_levels):
-            n = int(take("<i8", 1)[0])
-            at += 8
-            chunk = take(np.uint8, n)
-            at += n + -n % 8
+            n = int(self._take("<i8", 1, at)[0])
             m = (n + 7) // 8
-            bits = take(np.uint8, m)
-            at += m + -m % 8
-            k = (n + BLOCK - 1) // BLOCK + 1
-            ranks = take("<i8", k)
-            at += 8 * k
-            self.levels.append((chunk, bits, ranks))
-
-    @staticmethod
-    def _rank(bits: np.ndarray, ranks: np.ndarray, i: int) -> int:
-        """Ones before position ``i``."""
+            chunks, bits = at + 8, at + 8 + n + -n % 8
+            ranks = bits + m + -m % 8
+            self.levels.append((n, chunks, bits, ranks))
+            at = ranks + 8 * ((n + BLOCK - 1) // BLOCK + 1)
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        if isinstance(self.source, (bytes, memoryview)):
+            return bytes(self.source[at : at + n])
+        self.source.seek(at)
+        return self.source.read(n)
+
+    def _take(self, kind, n: int, at: int) -> np.ndarray:
+        if isinstance(self.source, bytes):
+            return np.frombuffer(self.source, kind, n, at)
+        return np.frombuffer(self._bytes(at, n * np.dtype(kind).itemsize), kind)
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        names, nulls = self._take("<i8", self.n_docs, self.names_at), self._take(np.uint8, self.n_docs, self.nulls_at)
+        return [None if z else int(x) for x, z in zip(names, nulls, strict=True)]
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return self._take("<i8", self.n_docs + 1, self.offsets_at)
+
+    def _rank(self, level: int, i: int) -> int:
+        """Ones before position ``i`` of a level: those before its block, and those of its block."""
+        _, _, bits_at, ranks_at = self.levels[level]
         block, byte = i // BLOCK, i // 8
-        whole = int(np.bitwise_count(bits[block * BLOCK // 8 : byte]).sum())
-        part = int(bits[byte] & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else 0
-        return int(ranks[block]) + whole + part
+        first = block * BLOCK // 8
+        bits = self._take(np.uint8, byte - first + (i % 8 > 0), bits_at + first)
+        whole = int(np.bitwise_count(bits[: byte - first]).sum())
+        part = int(bits[byte - first] & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else 0
+        return int(self._take("<i8", 1, ranks_at + 8 * block)[0]) + whole + part
 
     def token(self, i: int) -> int:
-        """The id at position ``i`` of the file, from one chunk per level."""
+        """The id at position ``i`` of the file, from one chunk, one bit and one rank a level."""
         if not 0 <= i < self.n_ids:
             raise IndexError(i)
         value = shift = 0
-        for chunk, bits, ranks in self.levels:
-            value |= int(chunk[i]) << shift
-            if not bits[i // 8] >> (i % 8) & 1:
+        for level, (_, chunks, bits, _) in enumerate(self.levels):
+            value |= int(self._take(np.uint8, 1, chunks + i)[0]) << shift
+            if not self._take(np.uint8, 1, bits + i // 8)[0] >> (i % 8) & 1:
                 break
-            i, shift = self._rank(bits, ranks, i), shift + 8
+            i, shift = self._rank(level, i), shift + 8
         return value
 
     def span(self, i: int, j: int) -> np.ndarray:
         """The ids at positions ``i`` to ``j - 1``; only their own chunks are read."""
         out = np.zeros(j - i, np.uint32)
         where = np.arange(j - i)
-        for level, (chunk, bits, ranks) in enumerate(self.levels):
+        for level, (_, chunks, bits, _) in enumerate(self.levels):
             if i >= j:
                 break
-            out[where] |= chunk[i:j].astype(np.uint32) << np.uint32(8 * level)
-            more = np.unpackbits(bits[i // 8 : (j + 7) // 8], bitorder="little")[i % 8 : i % 8 + j - i].astype(bool)
+            out[where] |= self._take(np.uint8, j - i, chunks + i).astype(np.uint32) << np.uint32(8 * level)
+            own = self._take(np.uint8, (j + 7) // 8 - i // 8, bits + i // 8)
+            more = np.unpackbits(own, bitorder="little")[i % 8 : i % 8 + j - i].astype(bool)
             where = where[more]
-            i = self._rank(bits, ranks, i)
+            i = self._rank(level, i) if len(where) else 0
             j = i + len(where)
         return out
 
     def document(self, d: int) -> np.ndarray:
-        return self.span(int(self.offsets[d]), int(self.offsets[d + 1]))
+        i, j = self._take("<i8", 2, self.offsets_at + 8 * d)
+        return self.span(int(i), int(j))
 
 
-def write(docs: DataFrame, path: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def opened(path: str) -> Reader:
+    """A reader of a stored file, by its path or address; nothing but its counts is read yet."""
+    fs, at = FileSystem.from_uri(path)
+    return Reader(fs.open_input_file(at))
+
+
+def write(docs: DataFrame, path: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id", folder: str | None = None) -> DataFrame:
     """Encode ``docs`` and write files in ascending order of ``key``; returns the table of files.
 
-    The table (``part int, seq int, n_docs long, n_ids long, file binary``) is Parquet in the
-    shared folder, so any store that Spark writes to can hold it.  ``end_id`` is appended to each
+    Files lie in ``folder`` (by default one of its own in the shared folder), as they are described
+    above, so an id can be read at its offset.  The table (``part int, seq int, n_docs long,
+    n_ids long, path string``) is in the order of ``part, seq``.  ``end_id`` is appended to each
     document.  Order: null keys first, rows with equal keys by text (null as empty); every row
     is a document of its own.  Range partitions split the key space evenly, and a file holds at
-    most about ``FILE_IDS`` ids, so memory is bounded by one file and one batch.
+    most about ``FILE_IDS`` ids, so memory is bounded by one file and one batch.  A file is moved
+    to its name when it is whole; a task that runs again writes the same files.
     """
+    folder = folder or f"{scratch.shared_dir(docs.sparkSession)}/lattiq/dac-{uuid.uuid4().hex}"
     rows = docs.select(key, base.text_or_empty(text).alias("text"))
     ordered = rows.repartitionByRange(base.partitions(docs), key).sortWithinPartitions(key, "text")
 
     def make():
         enc = encoder(path)
-        part, state = TaskContext.get().partitionId(), {"seq": 0}
+        fs, root = FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        part, attempt, state = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), {"seq": 0}
         names, ids, sizes = [], [], []
 
         def closed():
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            row = [[part], [state["seq"]], [len(names)], [int(offsets[-1])], [pack(names, offsets, np.concatenate(ids))]]
+            name = f"part-{part:06d}-{state['seq']:06d}.dac"
+            with fs.open_output_stream(f"{root}/.{name}.{attempt}") as f:
+                f.write(pack(names, offsets, np.concatenate(ids)))
+            fs.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
+            row = [[part], [state["seq"]], [len(names)], [int(offsets[-1])], [f"{folder}/{name}"]]
             state["seq"] += 1
             names.clear(), ids.clear(), sizes.clear()
             return row
@@ -158,7 +191,7 @@ def write(docs: DataFrame, path: str, end_id: int | None = 2, text: str = "text"
 
         return rows, lambda: [closed()] if names else []
 
-    files = _mapped_with_end(ordered, make, "part int, seq int, n_docs long, n_ids long, file binary")
+    files = _mapped_with_end(ordered, make, "part int, seq int, n_docs long, n_ids long, path string")
     return scratch.written(files, "dac")
 
 
@@ -194,17 +227,25 @@ def bases(files: DataFrame) -> DataFrame:
 
 
 def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, start long, n_tokens long, ids_crc32 long`` of each document, from the files."""
+    """``key, start long, n_tokens long, ids_crc32 long`` of each document, from the files.
+
+    Only the table of files is dealt out; each file is read by the task that has its row.  ``key``
+    is null where it was null; an empty document has its end id only, or nothing.
+    """
 
     def make():
         def rows(columns):
-            for file, start in zip(columns[0], columns[1].to_pylist(), strict=True):
-                f = Reader(file.as_py())
-                n = np.diff(f.offsets)
-                crc = [zlib.crc32(f.document(d).astype("<u4").tobytes()) for d in range(len(n))]
-                yield [f.doc_ids, f.offsets[:-1] + start, n, crc]
+            for path, start in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True):
+                fs, at = FileSystem.from_uri(path)
+                with fs.open_input_stream(at) as f:
+                    file = Reader(f.read())
+                offsets = file.offsets
+                n = np.diff(offsets)
+                crc = [zlib.crc32(file.document(d).astype("<u4").tobytes()) for d in range(len(n))]
+                yield [file.doc_ids, offsets[:-1] + start, n, crc]
 
         return rows
 
-    with_base = files.join(bases(files), ["part", "seq"]).select("file", "base")
-    return base.mapped(with_base, make, f"{key} long, start long, n_tokens long, ids_crc32 long")
+    with_base = files.join(bases(files), ["part", "seq"]).select("path", "base")
+    dealt = with_base.repartition(base.partitions(files), "path")
+    return base.mapped(dealt, make, f"{key} long, start long, n_tokens long, ids_crc32 long")

@@ -179,6 +179,41 @@ def test_packing(spark):
             at += r["n_words"]
 
 
+def naive_packing(rows, capacity):
+    """Bins of one shard by trying every open bin: ``(doc_id, words, source, cluster)`` in order."""
+    full, todo = [], []
+    for i, (doc, words, s, c) in enumerate(rows):
+        whole = len(words) // capacity
+        full += [([doc], words[k * capacity : (k + 1) * capacity]) for k in range(whole)]
+        if rest := words[whole * capacity :]:
+            todo.append((-len(rest), i, doc, rest, s, c))
+    bins = []
+    for n, _, doc, rest, s, c in sorted(todo, key=lambda t: t[:2]):
+        fit = [(capacity - len(b[1]), k) for k, b in enumerate(bins) if len(b[1]) - n <= capacity and s not in b[2] and c not in b[3]]
+        if not fit:
+            bins.append(([], [], set(), set()))
+        b = bins[min(fit)[1] if fit else -1]
+        b[0].append(doc), b[1].extend(rest), b[2].add(s), b[3].add(c)
+    return [(d, w) for d, w, *_ in [*full, *bins]]
+
+
+def test_packed_sequences_against_brute_force(spark):
+    docs = base.documents(spark, SF)
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("s")).collect()
+    folded = {r["doc_id"]: " ".join(x.decode() for x in (r["text"] or "").lower().encode().split()) for r in rows}
+    own = sorted((r["doc_id"], r["text"].encode().split(), r["s"], folded[r["doc_id"]]) for r in rows)
+    for capacity in (100, packing.CAPACITY):
+        got = packing.sequences(docs, capacity).collect()
+        assert sorted((r["doc_ids"], r["text"]) for r in got if r["bin_id"] is not None) == sorted((d, b" ".join(w).decode()) for d, w in naive_packing(own, capacity))
+        assert {r["bin_id"] for r in got if r["bin_id"] is not None} == {r["bin_id"] for r in packing.assign(docs, capacity).where("bin_id is not null").collect()}
+    clustered = docs.withColumn("component", F.lit(1))
+    assert all(len(r["doc_ids"]) == 1 for r in packing.sequences(clustered, cluster="component").collect())
+    for make in (odd, empty):
+        got = packing.sequences(make(spark)).collect()
+        ids = [i for r in got for i, p in zip(r["doc_ids"], r["pieces"], strict=True) if p == 0]
+        assert sorted(ids, key=str) == sorted((r["doc_id"] for r in make(spark).collect()), key=str)
+
+
 def test_best_fit_is_the_tightest_compatible_bin():
     rnd, capacity = random.Random(2), 50
     items = sorted(((rnd.randint(1, 50), rnd.randint(0, 3), rnd.randint(0, 20)) for _ in range(400)), reverse=True)
@@ -214,6 +249,15 @@ def test_addressable_codes(spark):
         ids = np.append(e.encode(t), 2).astype("<u4")
         assert tuple(r) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+    whole = np.concatenate([np.append(e.encode(t), 2) for _, t in sorted(texts(spark).items())])
+    begin, rnd = 0, random.Random(1)
+    for row in files.orderBy("part", "seq").collect():  # tokens of stored files, read at their offsets
+        f = dac.opened(row["path"])
+        for i in [0, f.n_ids - 1, *(rnd.randrange(f.n_ids) for _ in range(40))]:
+            assert f.token(i) == whole[begin + i]
+        assert f.document(f.n_docs - 1).tolist() == whole[begin + f.offsets[-2] : begin + f.offsets[-1]].tolist()
+        begin += f.n_ids
+    assert begin == len(whole)
     wide = np.array([0, 255, 256, 65535, 65536, 2**32 - 1] * 300, np.uint32)
     f = dac.Reader(dac.pack([1, None], np.array([0, 5, len(wide)]), wide))
     assert f.doc_ids == [1, None] and [f.token(i) for i in range(len(wide))] == wide.tolist() and f.span(3, 900).tolist() == wide[3:900].tolist()
