@@ -27,7 +27,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.assign(docs)
+    return packing.sequences(docs)
 
 
 STAGES = [
