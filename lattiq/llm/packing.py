@@ -12,7 +12,7 @@ from . import base
 CAPACITY = 2048
 #: Documents and code points of a shard, about; shards are packed independently, so these bound a
 #: task's memory, and each shard leaves its own last bins open.
-SHARD, SHARD_CHARS = 4096, 1 << 24
+SHARD, SHARD_CHARS = 4096, 1 << 23
 
 
 def pack(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
