@@ -111,7 +111,8 @@ def first_places(docs: DataFrame, window: int, anchor: int = ANCHOR, many: int =
 
     merged = seen.groupBy("h", "b").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("times"))
     merged = scratch.written(merged.select("h", "b", "first.doc_id", "first.p", "times"), "merged")
-    kinds = merged.groupBy("h").agg(F.count("*").alias("kinds"))
+    # written, so that the join reads two plain exchanges and a hot anchor can be split
+    kinds = scratch.written(merged.groupBy("h").agg(F.count("*").alias("kinds")), "kinds")
     with_kinds = merged.join(kinds, "h")
     n_windows = (F.col("p").bitwiseAND(15) + 1).cast("int")
     # an anchor with one kind of block: its windows first start where that block first starts
@@ -128,7 +129,7 @@ def first_places(docs: DataFrame, window: int, anchor: int = ANCHOR, many: int =
     one_each = windows.join(earliest, ["w1", "w2"]).where("times > 1 or k > 1")
     one_each = one_each.select("h", "b", "j", F.lit(1).alias("n"), F.col("first.doc_id").alias("at_doc"), F.col("first.at").alias("at"))
     known = scratch.written(alone.unionByName(in_shards).unionByName(one_each), "known")
-    scratch.dropped(merged, cut)
+    scratch.dropped(merged, kinds, cut)
     scratch.released(spark)
 
     here = F.expr("shiftright(p, 4) + j")
