@@ -76,15 +76,18 @@ def _families(classes: DataFrame, block: int) -> DataFrame:
     """``rep, central`` and ``family`` of the classes that meet others in rare retained values
     and pass the estimate from the union of their sketches."""
     values = classes.select("rep", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # sums are written before they are joined: the joins then read plain exchanges, and the rows of a
+    # value that very many sketches retain can be split over tasks
+    often = scratch.written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "often")
     common = values.join(often, "v").groupBy("rep", "n", "kept")
     common = common.agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("common"), F.sum("df").alias("weight"))
     least = F.least(F.lit(SHARED), F.ceil(F.col("n") * 0.8)).cast("int")
     room = F.greatest(F.lit(0), F.col("kept") - least + 1 - (F.col("kept") - F.size("common")))
     listed = common.withColumn("room", room).where("room > 0").select("rep", F.struct("weight", F.col("rep")).alias("central"), F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("x"))
-    listed = listed.select("rep", "central", F.col("x.v").alias("v"))
-    hubs = listed.groupBy("v").agg(F.count("*").alias("m"), F.max("central")["rep"].alias("hub")).where("m > 1")
-    listed = scratch.written(listed.join(hubs, "v").select("v", "rep", "central", "hub"), "lists")
+    every = scratch.written(listed.select("rep", "central", F.col("x.v").alias("v")), "lists")
+    hubs = scratch.written(every.groupBy("v").agg(F.count("*").alias("m"), F.max("central")["rep"].alias("hub")).where("m > 1"), "hubs")
+    listed = scratch.written(every.join(hubs, "v").select("v", "rep", "central", "hub"), "lists")
+    scratch.dropped(often, every, hubs)
 
     # each class meets the most central one of its lists first
     pairs = listed.where("rep <> hub").select("rep", "hub").distinct()
@@ -202,7 +205,7 @@ def _links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """``a, b`` (``a < b``): links of a spanning forest of the similar classes' ids."""
     families = scratch.written(_families(classes, block), "families")
-    sizes = families.groupBy("family").agg(F.count("*").alias("m"), F.max("central").alias("c"))
+    sizes = scratch.written(families.groupBy("family").agg(F.count("*").alias("m"), F.max("central").alias("c")), "families")
     placed = families.join(sizes, "family").select("rep", "family", "m", F.col("c.rep").alias("center"))
     texts = among(docs, families).join(placed, F.col("doc_id") == F.col("rep")).select("rep", "family", "m", "center", "text")
 
