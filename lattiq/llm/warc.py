@@ -38,13 +38,15 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     ``resolved``, ``missing`` (no earlier response, or no URL or time) or ``changed``: the
     validators differ.  The entity tag decides, weak as strong; without one the date of last
     change; without that the payload digest; a revisit with none is ``changed``.  Of responses at
-    one time the largest id counts; a response at the revisit's own time is not earlier.
+    one time the largest id counts; a response at the revisit's own time is not earlier.  Other
+    columns are not read; repeated revisits are a row each, an empty table gives none.
 
     A URL with very many records is no single group: windows run within parts of the time axis,
     the last response of each part is reduced with map-side combination, and only those, at most
     ``buckets`` a URL, are met by URL.
     """
-    rows = records.withColumn("canonical", canonical("url"))
+    names = ("record_id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers")
+    rows = records.select(*names, canonical("url").alias("canonical"))
     span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     low, width = (span["a"] or 0), max(1, -(-((span["b"] or 0) - (span["a"] or 0) + 1) // buckets))
     timed = rows.where("canonical is not null and ts is not null").withColumn("part", F.floor((F.col("ts") - low) / width))

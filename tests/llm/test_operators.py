@@ -425,3 +425,99 @@ def test_equal_values_stay_linked_over_a_table(spark):
     for r in pii.pseudonymise(docs, key, count="n").collect():
         i = r["doc_id"]
         assert (r["text"], r["n"]) == (f"x {alone[order[i % len(order)]][0]}, y {alone[order[i * 7 % len(order)]][0]}; z", 2)
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs, labels = base.documents(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(docs, labels.unionByName(labels).unionByName(labels.selectExpr("cast(null as bigint) doc_id", "quality", "cast(null as int) toxic")))
+    assert toxicity.fit(docs, labels).lexicon == model.lexicon
+    rows = toxicity.score(odd(spark), model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    same = [{r["score"] for r in rows if r["doc_id"] in ids} for ids in ((1, 2, 3), (4, 7), (5,))]
+    assert [len(x) for x in same] == [1, 1, 1]
+    held = {r["doc_id"]: r["held_out"] for r in rows}
+    assert held.pop(None) is False and held == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in held}
+    kept = toxicity.kept(odd(spark), model)
+    want = sorted(str(r["doc_id"]) for r in rows if not r["predicted"])
+    assert kept.columns == odd(spark).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == want
+    # nothing but the text is an input
+    other = docs.withColumns({"lang": F.lit("xx"), "source": F.lit(None).cast("string"), "doc_id": F.col("doc_id") + 10_000})
+    first = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert first == {r["doc_id"] - 10_000: r["score"] for r in toxicity.score(other, model).collect()}
+
+
+def test_toxicity_reaches_languages_without_a_listed_word(spark):
+    """Held-out rows of a language whose telling beginnings the labels alone can teach."""
+    rnd = random.Random(6)
+    syllables = ["ka", "lo", "mi", "ren", "sut", "vel", "dor", "pi", "zan", "qu"]
+    word = lambda: "".join(rnd.choices(syllables, k=rnd.randint(2, 4)))
+    rows, marks = [], []
+    for i in range(900):
+        toxic = i % 4 == 0
+        words = [word() for _ in range(60)] + (["grolb" + word() for _ in range(3)] if toxic else [])
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").collect()
+    assert sum(r["predicted"] != (r["doc_id"] % 4 == 0) for r in got) <= 0.05 * len(got)
+
+
+def test_token_digests_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation(), library.no_padding()
+    rows = {**texts(spark), **{i: t for i, t in ODD if i is not None and i < 0}}
+    for r in tokens.round_trip(base.documents(spark, SF), PATH).collect():
+        ids = library.encode(rows[r["doc_id"]] or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
+
+
+def test_likeness_is_that_of_recomputed_signatures(spark):
+    """Each row's fingerprint is the one its text alone has; likenesses are shares of equal parts."""
+    docs = base.documents(spark, SF)
+    alone = {r["doc_id"]: r["s"] for r in ordermin.signatures(docs.select("doc_id", "text"), "text", ["doc_id"]).select("doc_id", ordermin.as_text("signature").alias("s")).collect()}
+    got = sorted(ordermin.compared(docs).collect(), key=lambda r: r["doc_id"])
+    parts = lambda s: [s[i : i + 8] for i in range(0, len(s), 8)]
+    share = lambda a, b: sum(x == y for x, y in zip(parts(a), parts(b), strict=True)) / len(parts(a))
+    for r, after in zip(got, got[1:] + got[:1], strict=True):
+        assert r["fingerprint"] == alone[r["doc_id"]]
+        assert abs(r["near_edited"] - share(r["fingerprint"], r["edited_fingerprint"])) < 0.04
+        assert abs(r["near_next"] - share(r["fingerprint"], after["fingerprint"])) < 0.04
+
+
+def test_fingerprints_of_texts_without_white_space(spark):
+    rnd = random.Random(5)
+    text = "".join(rnd.choices("天地玄黄宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏", k=4000))
+    rows = [(1, text), (2, "".join(rnd.choices("閏餘成歲律呂調陽", k=4000)))]
+    got = {r["doc_id"]: r for r in ordermin.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["near_edited"] > 0.2 > 0.1 > got[1]["near_next"]
+
+
+def test_clashing_columns_and_empty_media(spark):
+    records = [(1, "http://a.org/x", 10, "response", "v", None, None, None, "c", 5, 6), (2, "http://a.org/x", 20, "revisit", "v", None, None, None, "c", 7, 8)]
+    kind = "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, canonical string, part int, target_id long"
+    got = warc.resolve(spark.createDataFrame(records, kind)).collect()
+    assert [(r["record_id"], r["target_id"], r["status"]) for r in got] == [(2, 1, "resolved")]
+    media = spark.createDataFrame([(1, b"", 4000, 3, "x"), (2, None, None, 4, "y"), (None, None, None, 5, "z")], "media_id long, pcm binary, rate int, h int, class_id string")
+    out = chroma.align(chroma.fingerprints(media), lambda c: c % 50 == 0).collect()
+    assert sorted((str(r["media_id"]), r["hit_id"]) for r in out) == [("1", None), ("2", None), ("None", None)]
+    vectors = spark.createDataFrame([(1, None), (2, []), (3, [0.5, None])], "vec_id long, embedding array<float>")
+    assert [len(r["pcm"]) for r in chroma.tunes(vectors).orderBy("media_id").collect()] == [0, 0, 4 * chroma.NOTE]
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    base.documents(spark, SF).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = odd(spark).drop("th", "spans", "family", "h", "part").withColumn("n_chars", F.col("n_chars").cast("int"))
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # texts without words stay alone; of equal texts the least id stays, of repeated rows all
+    assert {i for r in rows for i in r["doc_ids"]} == {1, 2, 3, 4, 5, None, 8}
