@@ -281,6 +281,11 @@ def classified(docs: DataFrame, k: int, percent: int = 80, block: int = BLOCK) -
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows of documents that are not kept."""
+    """``docs`` without the rows of documents that are not kept.
+
+    Rows with null or empty texts, and rows without an id, stay; of a group the least id stays,
+    with all rows that repeat it and its text.  An empty table stays empty; columns are not read
+    but for the id and the text.
+    """
     gone = classified(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_lattiq_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_lattiq_gone"), "left_anti")

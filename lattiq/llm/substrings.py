@@ -271,7 +271,9 @@ def remove(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, many: int =
     """``docs`` with the repeated windows cut out of ``text``; rows and other columns stay.
 
     White space goes with the word before it; texts without repeats stay byte for byte.
-    ``length``, if it is a column, gets the new number of code points of a changed text.
+    ``length``, if it is a column, gets the new number of code points of a changed text.  Null
+    stays null, a text that repeats an earlier one whole becomes empty; rows without an id stay as
+    they are, rows that repeat an id and its text change alike.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

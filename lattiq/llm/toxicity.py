@@ -213,7 +213,8 @@ def score(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score under ``cut``; no shuffle."""
+    """The rows of ``docs``, with all their columns, that score under ``cut``; no shuffle.  Null texts
+    count as empty; rows with equal texts stay or go together, whatever their id."""
 
     def run(batches):
         import pyarrow as pa
