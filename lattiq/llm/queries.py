@@ -97,4 +97,35 @@ select 2 * j.i + 1 record_id, j.canonical,
   case when j.target is not null and j.i % 10 <> 0 and x.tag = j.tag then 'cache-control: max-age=60\ncontent-length: ' || x.n
     || '\ncontent-type: text/html\ndate: ' || j.ts || '\netag: "' || x.tag || '"' end headers
 from j left join k x on x.i = j.target""",
+    "op1_substring_dedup": """
+with words as (
+  select doc_id, generate_subscripts(ws, 1) pos, unnest(ws) word
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents)
+), windows as (
+  select doc_id, pos, word, count(*) over w n, string_agg(word, ' ') over w window20 from words
+  window w as (partition by doc_id order by pos rows between current row and 19 following)
+), judged as (
+  select doc_id, pos, word, n = 20 and row_number() over (partition by n, window20 order by doc_id, pos) > 1 repeated from windows
+), covered as (
+  select doc_id, pos, word, bool_or(repeated) over (partition by doc_id order by pos rows between 19 preceding and current row) gone from judged
+), kept as (
+  select doc_id, count(*) n, count(*) filter (gone) g, string_agg(word, ' ' order by pos) filter (not gone) k from covered group by doc_id
+)
+select doc_id, coalesce(n, 0) n_words, coalesce(g, 0) n_removed, sha256(coalesce(k, '')) kept_sha256 from documents left join kept using (doc_id)""",
+    "op4_bottom_k_near_dedup": """
+with recursive words as (
+  select doc_id, generate_subscripts(ws, 1) pos, unnest(ws) word, len(ws) n_words
+  from (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') ws from documents)
+), runs as (
+  select doc_id, pos, n_words, count(*) over w n, string_agg(word, ' ') over w shingle from words
+  window w as (partition by doc_id order by pos rows between current row and 3 following)
+), shingles as (select distinct doc_id, shingle from runs where n = 4 or n_words < 4 and pos = 1),
+sizes as (select doc_id, count(*) n from shingles group by doc_id),
+shared as (select a.doc_id a, b.doc_id b, count(*) n from shingles a join shingles b using (shingle) where a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), reached(doc_id, other) as (
+  select doc_id, doc_id from documents union select doc_id, b from reached join links on a = other
+), components as (select doc_id, min(other) component_id from reached group by doc_id)
+select doc_id, coalesce(n, 0) n_shingles, component_id, doc_id = component_id kept from components left join sizes using (doc_id)""",
 }
