@@ -10,9 +10,8 @@ content, and documents' parts are sent to the one shard that can match them:
   anchor; equal blocks are merged with map-side combination and leave their earliest place.
 * A shard is an anchor's different blocks, in corpus order.  A suffix automaton over their words
   is built and the blocks are streamed through it: matching statistics give, for each window,
-  the place of its first occurrence.  Anchors with over ``MANY`` different blocks get a shard per
-  window instead, found by 128 bits of hash and reduced with map-side combination, so no group
-  is gathered in one task.
+  the place of its first occurrence.  An anchor with over ``MANY`` different blocks is no shard of
+  one task: its windows are aggregated by their very words, with map-side combination.
 * What is known of a block goes back to its occurrences; a window that is not at its first place
   is removed, and windows that touch merge to maximal spans.
 """
@@ -122,14 +121,15 @@ def first_places(docs: DataFrame, window: int, anchor: int = ANCHOR, many: int =
     asked = asked.agg(F.collect_list(F.struct("h", "b", "p", "times", "kinds")).alias("asked"))
     texts = named.join(asked, ["doc_id", "th"])
     cut = scratch.written(_cut(texts, window, many), "cut")
-    by_shard = cut.where("w1 is null").repartition(base.partitions(docs), "h").sortWithinPartitions("h", "doc_id", "p")
+    by_shard = cut.where("alone is null").repartition(base.partitions(docs), "h").sortWithinPartitions("h", "doc_id", "p")
     in_shards = _shards(by_shard, window)
-    windows = cut.where("w1 is not null")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", F.expr("shiftright(p, 4) + j").alias("at"))).alias("first"), F.count("*").alias("k"))
-    one_each = windows.join(earliest, ["w1", "w2"]).where("times > 1 or k > 1")
+    windows = cut.where("alone is not null")
+    earliest = windows.groupBy("alone").agg(F.min(F.struct("doc_id", F.expr("shiftright(p, 4) + j").alias("at"))).alias("first"), F.count("*").alias("k"))
+    earliest = scratch.written(earliest, "earliest")  # as above, for a hot window
+    one_each = windows.join(earliest, "alone").where("times > 1 or k > 1")
     one_each = one_each.select("h", "b", "j", F.lit(1).alias("n"), F.col("first.doc_id").alias("at_doc"), F.col("first.at").alias("at"))
     known = scratch.written(alone.unionByName(in_shards).unionByName(one_each), "known")
-    scratch.dropped(merged, kinds, cut)
+    scratch.dropped(merged, kinds, cut, earliest)
     scratch.released(spark)
 
     here = F.expr("shiftright(p, 4) + j")
@@ -143,30 +143,28 @@ def first_places(docs: DataFrame, window: int, anchor: int = ANCHOR, many: int =
 
 
 def _cut(texts: DataFrame, window: int, many: int) -> DataFrame:
-    """The words of the blocks asked for; of anchors with too many kinds, its windows one by one."""
-    kind = "h long, b long, times long, doc_id long, p long, j int, words string, w1 long, w2 long"
+    """The words of the blocks asked for; of anchors with too many kinds, those of each window alone."""
+    kind = "h long, b long, times long, doc_id long, p long, j int, words string, alone string"
 
     def make():
         def rows(columns):
             ids, raw, lists = columns[0].to_pylist(), base.raw_texts(columns[1]), columns[2]
-            out = [[] for _ in range(9)]
+            out, held = [[] for _ in range(8)], 0
             for i, (doc, text) in enumerate(zip(ids, raw, strict=True)):
                 words = text.split()
                 for a in lists[i].as_py():
                     p, start, n = a["p"], a["p"] >> 4 & (1 << 28) - 1, (a["p"] & 15) + 1
                     if a["kinds"] <= many:
-                        made = [(0, b" ".join(words[start : start + n + window - 1]).decode(), None, None)]
+                        made = [(0, b" ".join(words[start : start + n + window - 1]).decode(), None)]
                     else:
-                        made = []
-                        for j in range(n):
-                            d = hashlib.blake2b(b" ".join(words[start + j : start + j + window]), digest_size=16).digest()
-                            made.append((j, None, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                        made = [(j, None, b" ".join(words[start + j : start + j + window]).decode()) for j in range(n)]
                     for x in made:
+                        held += len(x[1] or x[2])
                         for c, v in zip(out, (a["h"], a["b"], a["times"], doc, p, *x), strict=True):
                             c.append(v)
-                if len(out[0]) > 20_000:
-                    yield out
-                    out = [[] for _ in range(9)]
+                    if held > base.BATCH_BYTES:
+                        yield out
+                        out, held = [[] for _ in range(8)], 0
             yield out
 
         return rows
