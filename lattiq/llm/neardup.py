@@ -101,10 +101,12 @@ def _families(classes: DataFrame, block: int) -> DataFrame:
     # lists whose classes are not all in one family by now: those outside its largest meet all
     now = components(spokes)
     named = listed.join(now, F.col("rep") == F.col("node"), "left").select("v", "rep", F.coalesce("label", "rep").alias("label"))
+    named = scratch.written(named, "named")
     parts = named.groupBy("v", "label").agg(F.count("*").alias("c"))
     open_lists = parts.groupBy("v").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_lists = open_lists.select("v", "m", (F.col("m") - F.col("main.c")).alias("l"), F.col("main.label").alias("main"))
+    open_lists = scratch.written(open_lists.select("v", "m", (F.col("m") - F.col("main.c")).alias("l"), F.col("main.label").alias("main")), "open_lists")
     rows = scratch.written(named.join(open_lists, "v").select("v", "rep", "m", "l", (F.col("label") != F.col("main")).alias("far")), "open")
+    scratch.dropped(named, open_lists)
     placed = crossed(rows, "v", [], block // 2).join(classes.select("rep", "sketch"), "rep")
 
     def meet(_, rows):
