@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lattiq import scratch
 
@@ -20,6 +20,8 @@ FILTERS = [(i * 5 % 12, 3 + (i + i // 4) % 3 * 3, 5 + i % 4 * 3, i % 4) for i in
 WIDTH = max(f[2] for f in FILTERS)
 #: Three levels a filter, where none were fitted.
 LEVELS = np.tile([-0.4, 0.0, 0.4], (len(FILTERS), 1))
+#: Values of filters are whole numbers of steps, so many to 1; none is as large as 4.
+STEPS, HALF = 1024, 4096
 #: Bits of a term; codes of queries in a block, about; codes of a recording that are counted at a
 #: time; stretches of so few codes may share no term, and are looked for at every offset.
 BAND, BLOCK, PIECE, SHORT = 16, 1 << 18, 512, 8
@@ -58,11 +60,15 @@ def filtered(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(frames: np.ndarray, levels: np.ndarray = LEVELS) -> np.ndarray:
+def stepped(frames: np.ndarray) -> np.ndarray:
+    """:func:`filtered` in whole steps of 16 bits."""
+    return np.rint(filtered(frames) * STEPS).astype("<i2")
+
+
+def pack(steps: np.ndarray, levels: np.ndarray = LEVELS) -> np.ndarray:
     """A 32-bit integer per start of ``WIDTH`` frames: sixteen filters, two Gray-coded bits each."""
-    values = filtered(frames)
-    out = np.zeros(values.shape[1], np.uint32)
-    for i, (v, limits) in enumerate(zip(values, levels, strict=True)):
+    out = np.zeros(steps.shape[1], np.uint32)
+    for i, (v, limits) in enumerate(zip(steps, np.asarray(levels) * STEPS, strict=True)):
         level = ((v > limits[0]).astype(np.uint32) + (v > limits[1])) + (v > limits[2])
         out |= (level ^ (level >> np.uint32(1))) << np.uint32(2 * i)
     return out
@@ -72,51 +78,70 @@ def _samples(raw: bytes | None) -> np.ndarray:
     return np.frombuffer(raw[: len(raw) // 2 * 2] if raw else b"", "<i2").astype(np.float32)
 
 
-def first_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """The ``most`` rows whose hashed keys come first: the same for any layout of the table."""
-    return rows.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(most)
+def filter_values(media: DataFrame, key: str = "media_id", pcm: str = "pcm", rate: str = "rate") -> DataFrame:
+    """``key, steps binary`` of 16-bit little-endian samples: what the filters give at each place, a
+    sixteenth of the sound's bytes.  Null, empty and too short recordings have no places; one row
+    out per row in; no shuffle.  Other columns are not read."""
+
+    def make():
+        def rows(columns):
+            sound = zip(columns[1].to_pylist(), columns[2].to_pylist(), strict=True)
+            yield [columns[0], [stepped(chroma(_samples(raw), hz or 8000)).tobytes() for raw, hz in sound]]
 
+        return rows
 
-def fitted_levels(media: DataFrame, most: int = 256, key: str = "media_id", pcm: str = "pcm", rate: str = "rate") -> np.ndarray:
-    """Levels that part each filter's values evenly, so that codes spread over all their bits.
+    return base.mapped(media.select(key, pcm, rate), make, f"{key} long, steps binary")
 
-    They are the quartiles over at most ``most`` recordings, those whose hashed ids come first;
-    each gives 64 places at most, so what is gathered is bounded by ``most``.  Without a code in
-    them, ``LEVELS``.
+
+def _loaded(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i2").reshape(len(FILTERS), -1)
+
+
+def levels_of(values: DataFrame) -> np.ndarray:
+    """Levels that part each filter's values (:func:`filter_values`) evenly, so that codes spread
+    over all their bits: the quartiles over every place of every recording.
+
+    Tasks count values by steps; there are sixteen times 8192 counts at most, whatever the input.
+    A quartile is the least step that a quarter, half or three quarters of the values do not pass.
+    Without a place, ``LEVELS``.
     """
-    chosen = first_by_hash(media, key, most).select(key, pcm, rate)
+    schema, arrow = base.arrow_schema("filter int, step int, n long")
 
-    def make():
-        def rows(columns):
-            out = []
-            for raw, hz in zip(columns[1].to_pylist(), columns[2].to_pylist(), strict=True):
-                values = filtered(chroma(_samples(raw), hz or 8000))
-                some = np.linspace(0, values.shape[1] - 1, min(64, values.shape[1])).astype(int)
-                out.append(values[:, some].ravel())
-            yield [columns[0], out]
+    def run(batches):
+        counts = np.zeros((len(FILTERS), 2 * HALF), np.int64)
+        for b in batches:
+            if b.num_rows:
+                for own, v in zip(counts, np.hstack([_loaded(raw) for raw in b.column(0).to_pylist()]), strict=True):
+                    own += np.bincount(v + HALF, minlength=2 * HALF)
+        i, step = counts.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((i, step - HALF, counts[i, step]), arrow, strict=True)], schema=arrow)
 
-        return rows
+    counted = base.arrow_mapped(values.select("steps"), run, schema).groupBy("filter", "step").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("filter")
+    counted = counted.withColumns({"met": F.sum("n").over(whole.orderBy("step")), "all": F.sum("n").over(whole)})
+    quartiles = [F.min(F.when(F.col("met") * 4 >= F.col("all") * q, F.col("step"))).alias(f"q{q}") for q in (1, 2, 3)]
+    got = counted.groupBy("filter").agg(*quartiles).orderBy("filter").collect()
+    return np.array([r[1:] for r in got]) / STEPS if got else LEVELS
 
-    got = base.mapped(chosen, make, f"{key} long, v array<double>").collect()
-    values = [np.array(r["v"]).reshape(len(FILTERS), -1) for r in got if r["v"]]
-    return np.percentile(np.hstack(values), [25, 50, 75], axis=1).T if values else LEVELS
 
+def fitted_levels(media: DataFrame, key: str = "media_id", pcm: str = "pcm", rate: str = "rate") -> np.ndarray:
+    """:func:`levels_of` recordings."""
+    return levels_of(filter_values(media, key, pcm, rate))
 
-def fingerprints(media: DataFrame, levels: np.ndarray = LEVELS, key: str = "media_id", pcm: str = "pcm", rate: str = "rate") -> DataFrame:
-    """``key, codes array<long>`` of 16-bit little-endian samples.  Null, empty and too short
-    recordings have no codes; one row out per row in; no shuffle.  Other columns are not read.
+
+def packed(values: DataFrame, levels: np.ndarray = LEVELS, key: str = "media_id") -> DataFrame:
+    """``key, codes array<long>`` of :func:`filter_values`; one row out per row in; no shuffle.
     Only prints made with the same ``levels`` can be compared."""
 
     def make():
-        def rows(columns):
-            codes = []
-            for raw, hz in zip(columns[1].to_pylist(), columns[2].to_pylist(), strict=True):
-                codes.append(pack(chroma(_samples(raw), hz or 8000), levels).astype(np.int64))
-            yield [columns[0], codes]
+        return lambda columns: iter([[columns[0], [pack(_loaded(raw), levels).astype(np.int64) for raw in columns[1].to_pylist()]]])
 
-        return rows
+    return base.mapped(values.select(key, "steps"), make, f"{key} long, codes array<long>")
 
-    return base.mapped(media.select(key, pcm, rate), make, f"{key} long, codes array<long>")
+
+def fingerprints(media: DataFrame, levels: np.ndarray = LEVELS, key: str = "media_id", pcm: str = "pcm", rate: str = "rate") -> DataFrame:
+    """:func:`packed` codes of recordings."""
+    return packed(filter_values(media, key, pcm, rate), levels, key)
 
 
 class Index:

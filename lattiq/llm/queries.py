@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lattiq import scratch
+
 from . import base, chroma, dac, neardup, ordermin, packing, pii, substrings, tokens, toxicity, warc
 
 
@@ -59,9 +61,10 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    levels = chroma.fitted_levels(chroma.tunes(chroma.first_by_hash(vectors, "vec_id", 256)))
-    prints = chroma.fingerprints(chroma.tunes(vectors), levels)
-    return chroma.align(prints, lambda media_id: media_id % 50 == 0)
+    values = scratch.written(chroma.filter_values(chroma.tunes(vectors)), "filters")  # the sound is worked on once
+    out = chroma.align(chroma.packed(values, chroma.levels_of(values)), lambda media_id: media_id % 50 == 0)
+    scratch.dropped(values)  # the codes are written by now
+    return out
 
 
 QUERIES = {

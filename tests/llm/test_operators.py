@@ -521,3 +521,13 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
     rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
     # texts without words stay alone; of equal texts the least id stays, of repeated rows all
     assert {i for r in rows for i in r["doc_ids"]} == {1, 2, 3, 4, 5, None, 8}
+
+
+def test_chroma_levels_are_quartiles_over_all_recordings(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(i, chroma.melody(rnd.normal(0, 0.1, 8).tolist()), chroma.RATE) for i in range(300)]  # and a few long ones
+    rows += [(1000 + i, chroma.melody(rnd.normal(0.2, 0.3, 400).tolist()), chroma.RATE) for i in range(10)] + [(None, rows[0][1], chroma.RATE), (2000, None, None), (2001, b"", 1)]
+    got = chroma.fitted_levels(spark.createDataFrame(rows, "media_id long, pcm binary, rate int").repartition(7))
+    every = np.hstack([chroma.filtered(chroma.chroma(np.frombuffer(pcm or b"", "<i2").astype(np.float32), chroma.RATE)) for _, pcm, _ in rows])
+    want = np.percentile(every, [25, 50, 75], axis=1, method="inverted_cdf").T
+    assert np.abs(got - want).max() <= 0.5 / 1024 + 1e-9
